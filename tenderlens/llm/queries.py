@@ -17,5 +17,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_best_fit_packing,)}
+def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import kd_shards
+
+    out = kd_shards(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .caps import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op7_best_fit_packing, op9_spherical_cap_links)}
 ORACLES: dict[str, str] = {}
