@@ -24,11 +24,21 @@ def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    net = fit(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    out = toxicity(docs, net)
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .caps import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
-QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op7_best_fit_packing, op9_spherical_cap_links)}
+QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op9_spherical_cap_links)}
 ORACLES: dict[str, str] = {}
