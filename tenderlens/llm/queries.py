@@ -17,6 +17,23 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import kd_shards
 
@@ -40,5 +57,15 @@ def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
-QUERIES = {f.__name__: f for f in (op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op9_spherical_cap_links)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_benchmark_decontamination, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op9_spherical_cap_links,
+)}
+
+
+def _oracles() -> dict[str, str]:
+    from . import license_scan
+
+    return {"op3_license_scan": license_scan.oracle()}
+
+
+ORACLES: dict[str, str] = _oracles()
