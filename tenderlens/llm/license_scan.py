@@ -156,8 +156,8 @@ def oracle() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS s FROM documents),
 w AS (SELECT r, doc_id, s, {words.format('s')} AS words FROM d),
 phrases AS ({phrase}), templates AS ({template}),
-hits AS (SELECT r, label, unnest(list_filter(range(len(words)), i -> words[i + 1 : i + len(p)] = p)) AS at FROM w, phrases),
-base AS (SELECT r, count(*) AS n, min(at) AS first_word, max(at) AS last_word FROM hits GROUP BY r),
+hits AS (SELECT r, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(p)] = p)) AS pos FROM w, phrases),
+base AS (SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM hits GROUP BY r),
 lines AS (SELECT r, list_distinct({words.format('line')}) AS words FROM (SELECT r, unnest(string_split(s, chr(10))) AS line FROM d)),
 method AS (SELECT r, label, len(list_intersect(t, words)) / len(t) AS share FROM lines, templates WHERE len(list_intersect(t, words)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
 labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM method) GROUP BY r),

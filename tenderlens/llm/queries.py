@@ -51,6 +51,12 @@ def op6_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .caps import near_vectors
 
@@ -58,7 +64,7 @@ def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op9_spherical_cap_links,
+    op1_benchmark_decontamination, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
 )}
 
 
