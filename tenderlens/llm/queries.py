@@ -63,8 +63,15 @@ def op9_spherical_cap_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), 0.95)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_decontamination, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
+    op10_line_dedup,
 )}
 
 
