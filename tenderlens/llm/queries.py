@@ -28,6 +28,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents"), 75)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan
 
@@ -70,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
+    op1_benchmark_decontamination, op2_jaccard_components, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
     op10_line_dedup,
 )}
 

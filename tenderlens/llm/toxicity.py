@@ -324,3 +324,21 @@ def toxicity(docs: DataFrame, net: Net) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     return docs.select("doc_id", "text").mapInArrow(lambda it: scored(it, shared.value), "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, net: Net, cut: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``cut``, all columns as they are; no shuffle."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    at = docs.columns.index("text")
+
+    def work(batches):
+        scorer = Scorer(shared.value)
+        limit = np.log(cut / (1 - cut)) - getattr(shared.value, "shift", 0.0)
+        for b in batches:
+            for a in range(0, b.num_rows, 512):
+                part = b.slice(a, 512)
+                x = scorer.scores([alnum_words(t.as_py()) for t in part.column(at)])
+                yield part.filter(pa.array(x < limit))
+
+    return docs.mapInArrow(work, docs.schema)
