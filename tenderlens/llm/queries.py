@@ -40,6 +40,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import katz_scores
+
+    return katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import kd_shards
 
@@ -76,7 +82,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_decontamination, op2_jaccard_components, op3_license_scan, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
+    op1_benchmark_decontamination, op2_jaccard_components, op3_license_scan, op4_katz_backoff, op5_kd_tree_sharding, op6_toxicity_gru, op7_best_fit_packing, op8_html_main_text, op9_spherical_cap_links,
     op10_line_dedup,
 )}
 
