@@ -4,6 +4,7 @@ byte-level word splitting, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -77,6 +78,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def free(self) -> None:
+        """Let go of finished jobs' shuffle files, which stay until the driver's handles on them are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in dfs:

@@ -4,6 +4,8 @@ The Jaccard distance is a metric, but nearly all documents are at distance 1 fro
 pivots would each hold everything. Pivots are therefore elected where documents can be near at all: two sets within the
 threshold share a shingle among the first n - ceil(t n) + 1 of each in any global order; the least document that holds such
 a shingle is its pivot, and documents attach to the pivots of their shingles. Every linked pair meets in a pivot's region.
+Prefixes are taken a little longer, by a twentieth of the set; linked pairs then share as many of their shingles, and a
+document with fewer shared ones (a common line or two) joins no region.
 The order puts shingles held by many documents last (found by counting over all partitions; any order is exact, the counts
 only keep regions small). Within a region, sets are split recursively: sub-pivots make Voronoi cells, a set goes to its
 nearest sub-pivot's cell and, as a boundary document, to those whose distance is within twice the threshold's distance of
@@ -32,6 +34,8 @@ from .common import Scratch, batch_of, components, forest, ship, space_words
 WORDS, BLOCK, LEAF = 5, 512, 96
 #: A shingle is put last in the order from so many documents on; at most so many, the most frequent, are sent to executors.
 FREQUENT, MOST = 64, 500_000
+#: A prefix is longer by a MORE-th of the set, so that linked sets share as many shingles of their prefixes.
+MORE = 20
 
 
 class _Hashes(dict):
@@ -100,7 +104,7 @@ def _sketch(batches, frequent: np.ndarray, percent: int):
                 if rep == doc:
                     at = np.searchsorted(frequent, s)
                     often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
-                    prefix = np.concatenate([s[~often], s[often]])[: n - -(-percent * n // 100) + 1]
+                    prefix = np.concatenate([s[~often], s[often]])[: n - -(-percent * n // 100) + max(1, n // MORE)]
             out.append((doc, n, rep, prefix))
         if out:
             doc, n, rep, prefix = zip(*out)
@@ -227,9 +231,18 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     shared = held.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
     # a shingle of two documents whose sizes rule a link out needs no region
     shared = scratch.save(shared.where((F.col("k") > 2) | ((F.col("k") == 2) & (100 * F.col("least") >= percent * F.col("most")))).select("h", "pivot"))
-    attached = scratch.save(held.join(shared, "h").select("pivot", "doc_id").distinct())
+    hits = scratch.save(held.join(shared.select("h"), "h").select("doc_id", "n", "h"))
     rows = scratch.save(sketch.select("doc_id", "n", "rep"))
     scratch.drop(sketch, shared)
+    scratch.free()
+    # linked sets share at least as many shingles as the smaller prefix is longer by, and sizes differ by the threshold at most
+    enough = F.greatest(F.lit(1), F.floor(F.lit(percent / 100.0) * F.floor(F.col("n") / MORE)))
+    able = hits.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(F.col("k") >= enough).select("doc_id")
+    hits = scratch.save(hits.join(able, "doc_id").select("doc_id", "h"))
+    pivots = hits.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("h", "pivot")
+    attached = scratch.save(hits.join(pivots, "h").select("pivot", "doc_id").distinct())
+    scratch.drop(hits)
+    scratch.free()
     sizes = attached.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
     placed = attached.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long")))

@@ -7,7 +7,7 @@ within tau edits share one of them, at a place that their lengths and the segmen
 segment indexes of its own and the tau shorter lengths with those substrings alone. Pairs that meet are verified by the
 banded bit-parallel edit distance, of whose matrix only 2 tau + 1 diagonals are kept, in the bits of a long.
 
-Lines that share a segment become a pair only if their lengths, with and without blanks, allow tau edits.
+Lines that share a segment become a pair only if their lengths and the counts of their letters allow tau edits.
 
 Edge cases: null text has no lines and stays null; empty lines and lines of few words always stay; rows that repeat both id
 and text count as one document; null ids come first; lines of up to 2 tau characters
@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, partitions_for
 
 TAU, MIN_WORDS = 2, 5
+LETTERS = "etaoinshrdlucmpf"  # counted, four bits each, for the bag filter
+BROADCAST_KEYS = 4_000_000  # longs sent to executors at once; more are taken in several passes
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
@@ -42,22 +44,47 @@ def _probes(tau: int) -> Column:
 
 
 def _keys(lines: DataFrame, tau: int) -> DataFrame:
-    """(key, h1, h2, n, sign, index): one row for each segment and probe of each line; sign is the length without blanks."""
+    """(key, h1, h2, n, line, index): one row for each segment and probe of each line."""
     k = tau + 1
-    rows = lines.select("h1", "h2", F.length("line").alias("n"), "line", F.length(F.replace("line", F.lit(" "))).alias("sign"), F.explode(_probes(tau)).alias("p"))
-    rows = rows.select("h1", "h2", "n", "line", "sign", "p.index", "p.i", "p.o", (F.col("n") - F.col("p.d")).alias("m"))
+    rows = lines.select("h1", "h2", F.length("line").alias("n"), "line", F.explode(_probes(tau)).alias("p"))
+    rows = rows.select("h1", "h2", "n", "line", "p.index", "p.i", "p.o", (F.col("n") - F.col("p.d")).alias("m"))
     base = F.call_function("div", F.col("m"), F.lit(k)).cast("int")
     longer = F.greatest(F.lit(0), F.col("i") - 1 - (k - F.col("m") % k))  # the last segments take the remainder
     start = base * (F.col("i") - 1) + longer + 1 + F.col("o")
     size = base + F.when(F.col("i") > k - F.col("m") % k, 1).otherwise(0)
     rows = rows.withColumns({"start": start.cast("int"), "len": size.cast("int")}).where("start >= 1 and start + len - 1 <= n and len > 0")
-    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start"), F.col("len"))).alias("key"), "h1", "h2", "n", "sign", "index")
+    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start"), F.col("len"))).alias("key"), "h1", "h2", "n", "line", "index")
 
 
-def _bag(tau: int) -> Column:
-    """Whether the counts of frequent letters in x and y allow tau edits: each edit changes at most two of them by one."""
-    count = lambda c, a: F.length(c) - F.length(F.replace(c, F.lit(a)))
-    return sum((F.abs(count("x", a) - count("y", a)) for a in "etaoinshrdlu"), F.lit(0)) <= 2 * tau
+def _chunks_agree(tau: int, chunks: int = 12) -> Column:
+    """Whether all chunks of x but tau stand in y within tau of their place: an edit breaks one chunk, and shifts by one."""
+    n = F.length("x")
+    base = F.call_function("div", n, F.lit(chunks)).cast("int")
+    found = F.lit(0)
+    for c in range(chunks):
+        start, size = base * c + 1, base if c < chunks - 1 else n - base * (chunks - 1)
+        low = F.greatest(F.lit(1), start - tau)
+        found = found + F.contains(F.substring("y", low, start + size + tau - low), F.substring("x", start, size)).cast("int")
+    return (base == 0) | (found >= chunks - tau)
+
+
+def _sign() -> Column:
+    """How often each of the letters stands in the line, modulo 16, four bits each."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LETTERS):
+        count = (F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    return out
+
+
+def _near(a: Column, b: Column, tau: int) -> Column:
+    """Whether two signatures allow tau edits: each edit changes at most two counts by one."""
+    nibble = lambda x, k: F.shiftrightunsigned(x, 4 * k).bitwiseAND(F.lit(15).cast("long"))
+    total = F.lit(0).cast("long")
+    for k in range(len(LETTERS)):
+        d = (nibble(a, k) - nibble(b, k)).bitwiseAND(F.lit(15).cast("long"))
+        total = total + F.least(d, F.lit(16).cast("long") - d)
+    return total <= 2 * tau
 
 
 def banded_distance(longer: Column, shorter: Column, tau: int) -> Column:
@@ -110,19 +137,28 @@ def banded_distance(longer: Column, shorter: Column, tau: int) -> Column:
 def near_pairs(lines: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
     """(a, b) hash pairs of distinct lines within tau edits, of ``lines(line, h1, h2)``."""
     rows = _keys(lines.where(F.length("line") > 2 * tau), tau)
-    # keys met by one line alone go before the join: their list is small, and rows that it drops are never shuffled
-    shared = rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("index").alias("x"))
+    # keys met by one line alone go before the join: the others are few, and rows that they drop are never shuffled
+    shared = rows.select("key", "h1", "index").repartition("key").groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("index").alias("x"))
     shared = scratch.save(shared.where("lo <> hi and x").select("key"))
-    met = scratch.save(rows.join(shared, "key", "left_semi").distinct())
+    scratch.free()
+    passes = max(1, -(-shared.count() // BROADCAST_KEYS))
+    met = None
+    for k in range(passes):
+        part = shared.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
+        part = rows.join(F.broadcast(part), "key", "left_semi").select("key", "h1", "h2", "n", _sign().alias("sign"), "index")
+        met = part if met is None else met.unionByName(part)
+    met = scratch.save(met.distinct())
     left, right = met.where("index").alias("l"), met.where("not index").alias("r")
     differ = (F.col("l.h1") != F.col("r.h1")) | (F.col("l.h2") != F.col("r.h2"))
     once = (F.col("l.n") < F.col("r.n")) | (F.struct("l.h1", "l.h2") < F.struct("r.h1", "r.h2"))
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.n") <= F.col("r.n")) & (F.col("r.n") - F.col("l.n") <= tau) & differ & once & (F.abs(F.col("l.sign") - F.col("r.sign")) <= tau) & (F.abs(F.col("l.n") - F.col("l.sign") - F.col("r.n") + F.col("r.sign")) <= tau))
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.n") <= F.col("r.n")) & (F.col("r.n") - F.col("l.n") <= tau) & differ & once & _near(F.col("l.sign"), F.col("r.sign"), tau))
     pairs = scratch.save(pairs.select(F.struct("l.h1", "l.h2").alias("a"), F.struct("r.h1", "r.h2").alias("b")).distinct())
     scratch.drop(met)
     ids = pairs.select("a").union(pairs.select("b")).distinct().select("a.h1", "a.h2")
-    texts = scratch.save(lines.join(ids, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("line").alias("line")).select(F.struct("h1", "h2").alias("id"), "line"))
-    known = scratch.save(pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").where(_bag(tau)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+    ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_KEYS // 2 else ids
+    texts = scratch.save(lines.join(ids, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).select(F.struct("h1", "h2").alias("id"), "line"))
+    known = scratch.save(pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").where(_chunks_agree(tau)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+    known = known.repartition(max(48, partitions_for(lines.sparkSession)))  # few rows, much work
     return known.where(banded_distance(F.col("y"), F.col("x"), tau) <= tau).select("a", "b")
 
 
@@ -133,6 +169,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_words: int = MIN_WORDS) ->
     places = scratch.save(lines.select("doc_id", "version", "pos", "h1", "h2"))
     near = near_pairs(lines, scratch, tau)
     classes = components(near, scratch)
+    scratch.free()
     first = F.min(F.struct("doc_id", "version", "pos"))
     heads = places.groupBy(F.struct("h1", "h2").alias("id")).agg(first.alias("first"), F.count("*").alias("k"))
     heads = heads.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
