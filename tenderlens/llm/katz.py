@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, ship, space_words
 
 BLOCK_TOKENS, BUCKET_TOKENS, K = 700_000, 6_000_000, 5
+#: The bigram table is made in so many passes over its partitions, each of which shuffles only its own share of the keys.
+PASSES = 3
 END, START = np.uint64(0xE0D), np.uint64(0x57A)  # not words: the end that is counted, and the history of first tokens
 
 BLOCKS = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("vocab", pa.binary()), ("tokens", pa.binary())])
@@ -166,7 +168,7 @@ def _gather(left: pa.Table, right: pa.Table, kind: int, column: str, dtype):
     return x, [unzip(a, dtype) for _, a in rows]
 
 
-def _ask_pairs(left: pa.Table, right: pa.Table, uni: Unigrams, buckets: int) -> pa.Table:
+def _ask_pairs(left: pa.Table, right: pa.Table, buckets: int, turn: int) -> pa.Table:
     if not left.num_rows:
         return ASKED.empty_table()
     x, c = _gather(left, right, 0, "a", np.int64)
@@ -179,10 +181,10 @@ def _ask_pairs(left: pa.Table, right: pa.Table, uni: Unigrams, buckets: int) ->
     at = cuts(h, buckets)
     rows = []
     for i, (s, e) in enumerate(zip(at, at[1:])):
-        if e > s:
+        if e > s and i % PASSES == turn:
             first = np.flatnonzero(np.append(True, h[s + 1 : e] != h[s : e - 1]))
             rows.append((i, block, 2, zip_(h[s:e][first]), zip_(np.diff(np.append(first, e - s)).astype(np.uint32)), zip_(x.vocab[w[s:e]]), zip_(np.stack([n[s:e], c[w[s:e]].astype(np.uint32)], 1).ravel())))
-    return pa.Table.from_batches([batch_of(ASKED, list(zip(*rows)))])
+    return pa.Table.from_batches([batch_of(ASKED, list(zip(*rows)))]) if rows else ASKED.empty_table()
 
 
 HISTORY = np.dtype([("c", "i8"), ("n", "i4", (K,)), ("s", "f8")])
@@ -276,7 +278,6 @@ def katz_scores(docs: DataFrame, held_out_part: int = 10) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    collect = spark._jvm.System.gc  # shuffle files of finished jobs go when the driver's handles on them do
     blocks = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, held_out_part), "block long, docs binary, vocab binary, tokens binary"), "uncompressed")
     n = max(1, blocks.count())
     buckets = max(1, math.ceil(n * BLOCK_TOKENS / BUCKET_TOKENS))
@@ -284,14 +285,19 @@ def katz_scores(docs: DataFrame, held_out_part: int = 10) -> DataFrame:
     asked = blocks.mapInArrow(lambda it: _ask_words(it, few), ASKED_SQL)
     words = scratch.save(asked.groupBy("bucket").applyInArrow(_own_words, ASKED_SQL), "uncompressed")
     uni = Unigrams(_stats(words, 1))
-    collect()
-    asked = blocks.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(lambda a, b: _ask_pairs(a, b, uni, buckets), ASKED_SQL)
-    pairs = scratch.save(asked.groupBy("bucket").applyInArrow(lambda t: _own_pairs(t, uni), ASKED_SQL), "uncompressed")
+    scratch.free()
+    parts = []
+    for turn in range(min(PASSES, buckets)):
+        asked = blocks.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(lambda a, b, turn=turn: _ask_pairs(a, b, buckets, turn), ASKED_SQL)
+        parts.append(scratch.save(asked.groupBy("bucket").applyInArrow(lambda t: _own_pairs(t, uni), ASKED_SQL), "uncompressed"))
+        scratch.free()
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
     d = discounts(_stats(pairs, 3))
-    collect()
     answers = words.where("kind = 0").unionByName(pairs.where("kind = 2"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _score(a, b, uni, d), schema)
     out = scratch.save(out)
-    scratch.drop(blocks, words, pairs)
+    scratch.drop(blocks, words, *parts)
     return out
