@@ -187,6 +187,10 @@ def _ask_pairs(left: pa.Table, right: pa.Table, buckets: int, turn: int) -> pa.T
     return pa.Table.from_batches([batch_of(ASKED, list(zip(*rows)))]) if rows else ASKED.empty_table()
 
 
+def _asker(buckets: int, turn: int):
+    return lambda left, right: _ask_pairs(left, right, buckets, turn)
+
+
 HISTORY = np.dtype([("c", "i8"), ("n", "i4", (K,)), ("s", "f8")])
 
 
@@ -288,7 +292,7 @@ def katz_scores(docs: DataFrame, held_out_part: int = 10) -> DataFrame:
     scratch.free()
     parts = []
     for turn in range(min(PASSES, buckets)):
-        asked = blocks.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(lambda a, b, turn=turn: _ask_pairs(a, b, buckets, turn), ASKED_SQL)
+        asked = blocks.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInArrow(_asker(buckets, turn), ASKED_SQL)
         parts.append(scratch.save(asked.groupBy("bucket").applyInArrow(lambda t: _own_pairs(t, uni), ASKED_SQL), "uncompressed"))
         scratch.free()
     pairs = parts[0]
