@@ -36,6 +36,8 @@ WORDS, BLOCK, LEAF = 5, 512, 96
 FREQUENT, MOST = 64, 500_000
 #: A prefix is longer by a MORE-th of the set, so that linked sets share as many shingles of their prefixes.
 MORE = 20
+#: Regions are joined in so many passes, each of which moves only the sets of its own regions.
+PASSES = 4
 
 
 class _Hashes(dict):
@@ -206,14 +208,20 @@ def _members(batches):
             yield batch_of(MEMBERS, [part.column(0), [shingles(t.as_py()).tobytes() for t in part.column(1)], part.column(2)])
 
 
-def _join_regions(docs: DataFrame, routes: DataFrame, percent: int) -> DataFrame:
+def _join_regions(docs: DataFrame, routes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Spanning links of the regions' blocks; ``routes(doc_id, pivot, block)`` says where documents go."""
-    packed = routes.groupBy("doc_id").agg(F.collect_set(F.struct("pivot", "block")).alias("regions"))
-    here = docs.select("doc_id", "text").join(packed, "doc_id")
-    sets = here.mapInArrow(_members, "doc_id long, set binary, regions array<struct<pivot:long,block:long>>")
-    rows = sets.select("doc_id", "set", F.explode("regions").alias("r")).select("r.pivot", "r.block", "doc_id", "set")
-    rows = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-    return rows.mapInArrow(lambda it: _regions(it, percent), "a long, b long")
+    out = None
+    for turn in range(PASSES):
+        mine = routes.where(F.pmod(F.xxhash64("pivot"), F.lit(PASSES)) == turn)
+        packed = mine.groupBy("doc_id").agg(F.collect_set(F.struct("pivot", "block")).alias("regions"))
+        here = docs.select("doc_id", "text").join(packed, "doc_id")
+        sets = here.mapInArrow(_members, "doc_id long, set binary, regions array<struct<pivot:long,block:long>>")
+        rows = sets.select("doc_id", "set", F.explode("regions").alias("r")).select("r.pivot", "r.block", "doc_id", "set")
+        rows = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
+        part = scratch.save(rows.mapInArrow(lambda it: _regions(it, percent), "a long, b long"))
+        scratch.free()
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -247,7 +255,7 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     placed = attached.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long")))
     to_all = placed.where("doc_id = pivot and blocks > 1").select("doc_id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    first = _join_regions(docs, placed.select("doc_id", "pivot", "block").union(to_all), percent)
+    first = _join_regions(docs, placed.select("doc_id", "pivot", "block").union(to_all), percent, scratch)
     edges = scratch.save(first.union(rows.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).distinct())
     comp = components(edges, scratch)
     large = placed.where("blocks > 1")
@@ -265,7 +273,7 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
         few = loose.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
         few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("doc_id", "pivot", tag(F.col("block"), F.col("chunk")).alias("block"))
         if loose.limit(1).count():
-            second = _join_regions(docs, whole.union(few).distinct(), percent)
+            second = _join_regions(docs, whole.union(few).distinct(), percent, scratch)
             comp = components(scratch.save(edges.union(second).distinct()), scratch)
     return rows.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
