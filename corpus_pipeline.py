@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tenderlens.llm.common import Scratch, table
 
-#: Documents that score this much or more are rejected as toxic.
-TOXIC = 0.5
+#: Documents that score this much or more are rejected as toxic: the cut at which the score is calibrated.
+TOXIC = 0.3
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def test_toxicity_learns(spark):
     net = train([(alnum_words(t), y) for t, y in rows[:400]])
     net.shift = calibrate(net, [(alnum_words(t), y) for t, y in rows[400:550]])
     score = Scorer(net).scores([alnum_words(t) for t, _ in rows[550:]]) + net.shift
-    assert np.mean((score > 0) == np.array([y for _, y in rows[550:]], bool)) > 0.9
+    assert np.mean((score >= np.log(0.3 / 0.7)) == np.array([y for _, y in rows[550:]], bool)) > 0.9
     kept = keep_clean(docs(spark, ODD), net)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} >= {1, 2}
 
