@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of five words or more stay in the first document that has them; a document of which nothing remains goes."""
+    """Lines stay in the first document that has them or, from nine characters on, one within two edits; a document of which nothing remains goes."""
     from tenderlens.llm.line_dedup import dedup_lines
 
     out = dedup_lines(docs).where("n_removed = 0 or trim(text) <> ''")

@@ -1,15 +1,15 @@
 """Line deduplication by a segment-partition edit join, in DataFrame functions only.
 
-Lines of at least ``min_words`` words that agree but for white space at their ends, or that are within ``tau`` edits of one
-another (directly or through others), form a class; the class's first line (by document id and place) stays, the others go.
-Equal lines meet by a 128-bit hash. For the rest every distinct line is cut into tau + 1 segments of even length: two lines
+Lines of any length that agree but for blanks at their ends, and lines of at least ``min_chars`` characters that are within
+``tau`` edits of one another (directly or through others), form a class; the class's first line (by document id and place)
+stays, the others go. Equal lines meet by a 128-bit hash. For the rest every line of that length is cut into tau + 1 segments of even length: two lines
 within tau edits share one of them, at a place that their lengths and the segment's number bound, so a line probes the
 segment indexes of its own and the tau shorter lengths with those substrings alone. Pairs that meet are verified by the
 banded bit-parallel edit distance, of whose matrix only 2 tau + 1 diagonals are kept, in the bits of a long.
 
 Lines that share a segment become a pair only if their lengths and the counts of their letters allow tau edits.
 
-Edge cases: null text has no lines and stays null; empty lines and lines of few words always stay; rows that repeat both id
+Edge cases: null text has no lines and stays null; lines of white space alone always stay; rows that repeat both id
 and text count as one document; null ids come first; lines of up to 2 tau characters
 meet only their equals; very long lines are compared whole; an empty table gives no rows.
 """
@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components, partitions_for
 
-TAU, MIN_WORDS = 2, 5
+TAU = 2
+MIN_CHARS = 9  # of lines in the edit join: no line of five words is shorter; equal lines meet at any length
 LETTERS = "etaoinshrdlucmpf"  # counted, four bits each, for the bag filter
 BROADCAST_KEYS = 4_000_000  # longs sent to executors at once; more are taken in several passes
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, version, pos, line, h1, h2) of the lines long enough to be compared."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, pos, line, h1, h2) of the lines that are not white space alone."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"(?:\S+\s+){%d}\S" % (min_words - 1)))
+    rows = rows.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"\S"))
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -162,12 +163,12 @@ def near_pairs(lines: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
     return known.where(banded_distance(F.col("y"), F.col("x"), tau) <= tau).select("a", "b")
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text without its removed lines, and n_lines and n_removed (both 0 for null text)."""
     scratch = Scratch(docs.sparkSession)
-    lines = lines_of(docs, min_words)
+    lines = lines_of(docs)
     places = scratch.save(lines.select("doc_id", "version", "pos", "h1", "h2"))
-    near = near_pairs(lines, scratch, tau)
+    near = near_pairs(lines.where(F.length("line") >= min_chars), scratch, tau)
     classes = components(near, scratch)
     scratch.free()
     first = F.min(F.struct("doc_id", "version", "pos"))

@@ -231,6 +231,15 @@ def test_line_dedup_brute_force(spark):
     assert got[4, 2].text == rows[3][1] and got[5, 0].text is None and got[6, 1].text == ""
 
 
+def test_line_dedup_of_short_lines_and_lines_without_blanks(spark):
+    from tenderlens.llm.line_dedup import dedup_lines
+
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(40))
+    rows = [(1, f"Yes.\n\n{han}\nunlike"), (2, f"Yes.\n\nNo.\n{han}"), (3, f"No.\n  Yes. \n{han[:20]}{han[21:]}\nYas."), (4, "Yes.\nYes.")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("\nNo.", 2), 3: ("Yas.", 3), 4: ("", 2)}
+
+
 def test_banded_distance(spark):
     from tenderlens.llm.line_dedup import banded_distance
 
