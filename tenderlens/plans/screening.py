@@ -346,7 +346,10 @@ def x10_identical_or_conflicting(d):
 
 @plan
 def k2_formula_guard(d):
-    return f"SELECT doc_id, CASE WHEN {d.rx_has('text', '^[=+@-]')} THEN concat(chr(39), substr(text, 1, 40)) ELSE substr(text, 1, 40) END AS cell FROM {d.documents}"
+    """Whole texts, with a leading apostrophe where a spreadsheet would take one for a formula."""
+    space = r"\x00-\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+    formula = f"^[{space}]*[=+@-]|^[\\t\\r\\n]"
+    return f"SELECT doc_id, CASE WHEN {d.rx_has('text', formula)} THEN concat(chr(39), text) ELSE text END AS cell FROM {d.documents}"
 
 
 @plan

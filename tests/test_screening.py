@@ -33,6 +33,30 @@ def test_plan_equals_oracle(spark, name):
     assert got == want
 
 
+def run_both(spark, folder, name, **tables):
+    """Sorted rows of a plan in Spark and of its oracle in DuckDB over the given DataFrames."""
+    duckdb = pytest.importorskip("duckdb")
+    from tenderlens.plans import catalog
+
+    c = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        c.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    df = catalog.QUERIES[name](spark, str(folder))
+    cur = c.execute(catalog.ORACLES[name])
+    names = [d[0] for d in cur.description]
+    want = [tuple(r[names.index(k)] for k in df.columns) for r in cur.fetchall()]
+    return sorted(map(tuple, df.collect()), key=str), sorted(want, key=str)
+
+
+def test_formula_guard_keeps_whole_texts(spark, tmp_path):
+    long = "word " * 30
+    texts = [long, "=" + long, " \t=1", "\u00a0\u3000+1", "\x01@x", "\nplain", "plain\n=1", "a=1", "", None, " -" + long]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = run_both(spark, tmp_path, "k2_formula_guard", documents=df)
+    assert got == want == sorted(((i, "'" + t if i in (1, 2, 3, 4, 5, 10) else t) for i, t in enumerate(texts)), key=str)
+
+
 def test_leave_one_out_median_against_brute_force(spark):
     from tenderlens.plans import catalog
 
