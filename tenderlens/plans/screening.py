@@ -306,17 +306,30 @@ def j9_extremal_version(d):
 
 @plan
 def j12_rotation(d):
-    """Clients served by two suppliers that meet in three orders or more within a year of one another."""
-    return f"""WITH b AS (SELECT DISTINCT o_custkey AS demand, o_orderkey AS opening, l_suppkey AS bidder, {d.epoch_days('o_orderdate')} AS day FROM {d.lineitem} JOIN {d.orders} ON l_orderkey = o_orderkey),
-p AS (SELECT x.demand, x.opening, x.day, x.bidder AS a, y.bidder AS b FROM b x JOIN b y ON x.opening = y.opening AND x.bidder < y.bidder)
-SELECT p.demand, p.opening, p.a, p.b, count(*) AS common FROM p JOIN p q ON p.demand = q.demand AND p.a = q.a AND p.b = q.b AND q.day BETWEEN p.day - 365 AND p.day + 365 GROUP BY p.demand, p.opening, p.a, p.b HAVING count(*) >= 2"""
+    """Every opening (order) with its winner, the supplier of the lowest line price, and the peers that rotate with it: they bid
+    here, met the winner in three or more other openings of the client within a year, and won one of them or more. Without
+    a client or a single winner the state is unknown."""
+    return f"""WITH s AS (SELECT o_custkey AS demand, o_orderkey AS opening, l_suppkey AS bidder, {d.epoch_days('o_orderdate')} AS day, min(l_extendedprice) AS price FROM {d.lineitem} JOIN {d.orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3, 4),
+b AS (SELECT demand, opening, bidder, day, CASE WHEN price = min(price) OVER (PARTITION BY opening) THEN 1 ELSE 0 END AS won FROM s),
+o AS (SELECT opening, demand, day, CASE WHEN sum(won) = 1 THEN max(CASE WHEN won = 1 THEN bidder END) END AS winner FROM b GROUP BY opening, demand, day),
+t AS (SELECT o.opening, o.demand, o.day, o.winner, b.bidder AS peer FROM o JOIN b ON o.opening = b.opening AND o.winner <> b.bidder),
+p AS (SELECT x.demand, x.opening, x.day, x.bidder AS a, y.bidder AS b, y.won FROM b x JOIN b y ON x.opening = y.opening AND x.bidder <> y.bidder),
+r AS (SELECT t.opening, t.peer FROM t JOIN p ON p.demand = t.demand AND p.a = t.winner AND p.b = t.peer AND p.opening <> t.opening AND p.day BETWEEN t.day - 365 AND t.day + 365 GROUP BY t.opening, t.peer HAVING count(*) >= 3 AND sum(p.won) >= 1),
+n AS (SELECT opening, count(*) AS peers FROM r GROUP BY opening)
+SELECT o.demand, o.opening, o.winner, coalesce(n.peers, 0) AS peers, CASE WHEN o.demand IS NULL OR o.winner IS NULL THEN 'unknown' WHEN n.peers > 0 THEN 'signal' ELSE 'clear' END AS state FROM o LEFT JOIN n ON o.opening = n.opening"""
 
 
 @plan
 def j13_quote_pairs(d):
+    """Bidder pairs of each opening of 2 to 20 bids, with the other openings (of any size) within a year of it in which their
+    absolute gap recurs: signal from two on, unknown where missing rates could make up two. Pairs of gap 0 are left out, as
+    in the reference. A pair's day is the earlier of its two ship dates."""
     return f"""WITH b AS (SELECT l_orderkey AS opening, l_suppkey AS bidder, CAST(round(l_discount * 100) AS INT) AS rate, {d.epoch_days('l_shipdate')} AS day FROM {d.lineitem}), n AS (SELECT opening FROM b GROUP BY opening HAVING count(*) BETWEEN 2 AND 20),
-p AS (SELECT DISTINCT x.opening, x.bidder AS a, y.bidder AS b, y.rate - x.rate AS gap FROM b x JOIN b y ON x.opening = y.opening AND x.bidder < y.bidder WHERE x.opening IN (SELECT opening FROM n))
-SELECT a, b, gap, count(DISTINCT opening) AS openings FROM p GROUP BY a, b, gap HAVING count(DISTINCT opening) >= 2"""
+p AS (SELECT x.opening, x.bidder AS a, y.bidder AS b, abs(y.rate - x.rate) AS gap, min(least(x.day, y.day)) AS day FROM b x JOIN b y ON x.opening = y.opening AND x.bidder < y.bidder GROUP BY 1, 2, 3, 4),
+t AS (SELECT * FROM p WHERE (gap IS NULL OR gap <> 0) AND opening IN (SELECT opening FROM n)),
+c AS (SELECT t.opening, t.a, t.b, t.gap, count(DISTINCT CASE WHEN q.gap = t.gap THEN q.opening END) AS exact, count(DISTINCT CASE WHEN q.gap = t.gap OR q.gap IS NULL THEN q.opening END) AS possible
+  FROM t LEFT JOIN p q ON q.a = t.a AND q.b = t.b AND q.opening <> t.opening AND q.day BETWEEN t.day - 365 AND t.day + 365 GROUP BY t.opening, t.a, t.b, t.gap)
+SELECT opening, a, b, gap, exact, CASE WHEN gap IS NULL THEN 'unknown' WHEN exact >= 2 THEN 'signal' WHEN possible >= 2 THEN 'unknown' ELSE 'clear' END AS state FROM c"""
 
 
 @plan

@@ -57,6 +57,38 @@ def test_formula_guard_keeps_whole_texts(spark, tmp_path):
     assert got == want == sorted(((i, "'" + t if i in (1, 2, 3, 4, 5, 10) else t) for i, t in enumerate(texts)), key=str)
 
 
+LINES = "l_orderkey long, l_suppkey long, l_discount double, l_extendedprice double, l_shipdate date"
+
+
+def test_quote_pairs(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    quotes = [(1, 0, 5, 7), (2, 100, 9, 7), (3, 365, 1, 3), (4, 366, 7, 5), (5, 5000, 1, 1), (6, 9000, None, 2), (7, 9001, 1, 3), (8, 9002, 5, 3), (9, 5001, 4, 6)]
+    rows = [(o, s, r if r is None else r / 100, 1.0, day(n)) for o, n, x, y in quotes for s, r in ((1, x), (2, y))]
+    got, want = run_both(spark, tmp_path, "j13_quote_pairs", lineitem=spark.createDataFrame(rows, LINES))
+    assert got == want == [
+        (1, 1, 2, 2, 2, "signal"), (2, 1, 2, 2, 3, "signal"), (3, 1, 2, 2, 3, "signal"), (4, 1, 2, 2, 2, "signal"), (6, 1, 2, None, 0, "unknown"),
+        (7, 1, 2, 2, 1, "unknown"), (8, 1, 2, 2, 1, "unknown"), (9, 1, 2, 2, 0, "clear"),
+    ]
+
+
+def test_rotation(spark, tmp_path):
+    import datetime as dt
+
+    # client 1: suppliers 1 and 2 take turns in four openings within a year; client 2: supplier 1 wins all; client 3: a tie
+    wins = [(1, 1, 0, 1), (2, 1, 50, 2), (3, 1, 100, 1), (4, 1, 200, 1), (5, 1, 900, 1)] + [(k, 2, k, 1) for k in range(6, 10)] + [(10, 3, 0, None)]
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    lines = [(o, s, 0.0, 1.0 if w in (s, None) else 2.0, day(n)) for o, _, n, w in wins for s in (1, 2)]
+    orders = spark.createDataFrame([(o, c, day(n)) for o, c, n, _ in wins], "o_orderkey long, o_custkey long, o_orderdate date")
+    got, want = run_both(spark, tmp_path, "j12_rotation", lineitem=spark.createDataFrame(lines, LINES), orders=orders)
+    assert got == want
+    assert {r[1]: (r[2], r[3], r[4]) for r in got} == {
+        1: (1, 1, "signal"), 2: (2, 1, "signal"), 3: (1, 1, "signal"), 4: (1, 1, "signal"), 5: (1, 0, "clear"),
+        **{k: (1, 0, "clear") for k in range(6, 10)}, 10: (None, 0, "unknown"),
+    }
+
+
 def test_leave_one_out_median_against_brute_force(spark):
     from tenderlens.plans import catalog
 
