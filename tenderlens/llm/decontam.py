@@ -14,14 +14,14 @@ that what is broadcast stays bounded.
 
 from __future__ import annotations
 
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, batch_of, ship
+from .common import Scratch, alnum_words, batch_of, ship
 
 WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 20, 4_000_000, 8
 
@@ -164,6 +164,7 @@ def merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("span_start", pa.list_(pa.int64())), ("span_end", pa.list_(pa.int64()))])
+KEY = pa.struct([("row", pa.int64()), ("doc_id", pa.int64())])  # in place of the id when the benchmark is in blocks
 
 
 def search_shard(docs: list[tuple], phrases: Phrases):
@@ -196,7 +197,7 @@ def search_shard(docs: list[tuple], phrases: Phrases):
         yield doc_id, len(words), items.get(d, []), [a for a, _ in sp], [b for _, b in sp]
 
 
-def _search(batches, phrases: Phrases):
+def _search(batches, phrases: Phrases, schema: pa.Schema = HITS):
     shard, size = [], 0
     for b in batches:
         out = []
@@ -208,9 +209,9 @@ def _search(batches, phrases: Phrases):
                 out += search_shard(shard, phrases)
                 shard, size = [], 0
         if out:
-            yield batch_of(HITS, list(zip(*out)))
+            yield batch_of(schema, list(zip(*out)))
     if shard:
-        yield batch_of(HITS, list(zip(*search_shard(shard, phrases))))
+        yield batch_of(schema, list(zip(*search_shard(shard, phrases))))
 
 
 def blocks_of(benchmark: DataFrame):
@@ -228,20 +229,24 @@ def blocks_of(benchmark: DataFrame):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, passthrough: tuple = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of every row of ``docs(doc_id, text)``; spans are merged half-open word ranges
-    to remove, items the sorted ids (as strings) of the benchmark items with an occurring window. One pass, no shuffle."""
+    to remove, items the sorted ids (as strings) of the benchmark items with an occurring window. One pass, no shuffle; a
+benchmark of several blocks takes a pass for each and a shuffle of their hits."""
     spark = docs.sparkSession
     ship(spark)
-    schema = "doc_id long, n_words long, items array<string>, span_start array<long>, span_end array<long>"
+    schema = "{} n_words long, items array<string>, span_start array<long>, span_end array<long>"
+    blocks = blocks_of(benchmark)
+    head = list(islice(blocks, 2))
+    rows, types, out_schema = docs.select("doc_id", "text"), HITS, schema.format("doc_id long,")
+    if len(head) > 1:
+        # several blocks: the passes' spans of a row meet again by a number that is written once, so that all passes read the same
+        rows = Scratch(spark).save(rows.select(F.struct(F.monotonically_increasing_id().alias("row"), "doc_id").alias("doc_id"), "text"))
+        types, out_schema = HITS.set(0, pa.field("doc_id", KEY)), schema.format("doc_id struct<row: long, doc_id: long>,")
     runs = []
-    for block in blocks_of(benchmark):
+    for block in chain(head or [[]], blocks):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        runs.append(docs.select("doc_id", "text").mapInArrow(lambda it, s=shared: _search(it, s.value), schema))
-    if not runs:
-        shared = spark.sparkContext.broadcast(Phrases([], window))
-        runs.append(docs.select("doc_id", "text").mapInArrow(lambda it, s=shared: _search(it, s.value), schema))
+        runs.append(rows.mapInArrow(lambda it, s=shared: _search(it, s.value, types), out_schema))
     out = runs[0]
     if len(runs) > 1:
-        # several blocks: the passes' spans of a row (told apart by id and text) meet again
         tagged = None
         for k, block_run in enumerate(runs):
             tagged = block_run if tagged is None else tagged.unionByName(block_run)
@@ -253,6 +258,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
             (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["span_start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["span_end"]).alias("b")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["span_start"].alias("a"), x["span_end"].alias("b"))))))
-        out = out.withColumn("z", merged).select("doc_id", "n_words", "items", F.col("z.a").alias("span_start"), F.col("z.b").alias("span_end"))
+        out = out.withColumn("z", merged).select("doc_id.doc_id", "n_words", "items", F.col("z.a").alias("span_start"), F.col("z.b").alias("span_end"))
     hit = F.aggregate(F.arrays_zip("span_start", "span_end"), F.lit(0).cast("long"), lambda a, x: a + x["span_end"] - x["span_start"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "items", F.arrays_zip("span_start", "span_end").alias("spans"))

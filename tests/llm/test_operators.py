@@ -40,6 +40,20 @@ def test_decontamination_brute_force():
             assert set().union(*[range(x, y) for x, y in zip(a, b)]) == hit
 
 
+def test_decontamination_in_blocks_keeps_every_row(spark, monkeypatch):
+    from tenderlens.llm import decontam
+
+    bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k}") for k in range(6)], "item_id long, text string")
+    texts = ["x a0 b0 c0 d0 y a5 b5 c5 d5", "a1 b1 c1 d1 a2 b2 c2 d2 z z", "b3 c3 d3 b4 c4 d4 z z z z", "none of them is in here at all today it"]
+    ids = [1, 1, None, None]
+    rows = docs(spark, ODD + list(zip(ids, texts)) * 2)
+    run = lambda: sorted(map(tuple, decontam.contamination(rows, bench, 3).collect()), key=str)
+    whole = run()
+    assert len(whole) == rows.count() and {r[2] for r in whole} == {0, 6, 8}
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 5)
+    assert len(list(decontam.blocks_of(bench))) > 2 and run() == whole
+
+
 def shingle_set(t, k=5):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
