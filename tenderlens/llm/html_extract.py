@@ -3,7 +3,9 @@
 A page becomes lines, one per block element; each has a text-to-tag ratio (characters over tags met in it). The ratios are
 smoothed with a Gaussian and clustered by a threshold between dense and sparse lines. The content region is the element
 that holds the dense lines: the page's articles (or its main element) where it has them, else the innermost element that
-holds nearly all dense text. Every line of the region is kept, short ones too; menus, page headers and footers, sidebars,
+holds all lines that are dense by themselves and after smoothing. The headings right before that element are kept, and of
+the lines directly in an element around it the earlier headings and those that smoothing makes dense. Every line of the
+region is kept, short ones too; menus, page headers and footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand.
 
 Edge cases: null and empty html give an empty text; unclosed and stray tags are tolerated; pages of any length are read to
@@ -24,6 +26,7 @@ from .common import batch_of, ship
 #: Elements whose text is never content; those that a page has outside its article; elements that hold others.
 NEVER = frozenset("script style head noscript template svg math canvas iframe object select button form nav aside dialog menu textarea".split())
 OUTSIDE = frozenset("header footer".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = frozenset("article main section div td body".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,20 +37,21 @@ MARKED = re.compile(
 )
 MARKED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|footer|topbar)(?:$|[\s_-])", re.I)
 PIECE = 1 << 16
-SIGMA, SHARE = 1.0, 0.9
+SIGMA = 1.0
 
 
 class Lines(HTMLParser):
-    """Collects [text, tags, holder, kept] lines; holders form a tree (parent, tag)."""
+    """Collects (text, tags, holder, heading) lines; holders form a tree (parent, tag)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.holders: list[tuple[int, str]] = [(-1, "")]
         self.stack: list[tuple[str, bool, int]] = []  # tag, whether it hides its text, holder
         self.hidden = 0
         self.inside = 0  # articles or mains around
         self.holder = 0
+        self.heading = False
         self.parts: list[str] = []
         self.tags = 0
 
@@ -55,7 +59,7 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, self.holder))
+                self.lines.append((text, self.tags, self.holder, self.heading))
             self.parts = []
         self.tags = 0
 
@@ -66,6 +70,7 @@ class Lines(HTMLParser):
                 self.parts.append(" ")
             return
         self.flush()
+        self.heading = tag in HEADINGS
         if tag in VOID or tag == "p" or tag == "li" and not attrs:
             return
         if tag == "body":
@@ -95,6 +100,7 @@ class Lines(HTMLParser):
         if tag in INLINE:
             return
         self.flush()
+        self.heading = False
         if any(s[0] == tag for s in reversed(self.stack)):
             while self.stack:
                 top = self.stack[-1][0]
@@ -111,8 +117,9 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def dense(ratios: list[float]) -> list[bool]:
-    """Lines whose smoothed ratio lies on the upper side of the threshold that parts the two clusters."""
+def dense(ratios: list[float]) -> tuple[list[bool], list[bool]]:
+    """Lines whose smoothed ratio lies on the upper side of the threshold that parts the two clusters, and those of them
+    whose own ratio does too."""
     w = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(3)]
     n = len(ratios)
     smooth = []
@@ -128,11 +135,14 @@ def dense(ratios: list[float]) -> list[bool]:
         cut = (low + high) / 2
         above, below = [x for x in smooth if x >= cut], [x for x in smooth if x < cut]
         if not above or not below:
-            return [True] * n
+            return [True] * n, [True] * n
         low, high, was = sum(below) / len(below), sum(above) / len(above), cut
         if abs((low + high) / 2 - was) < 1e-9:
             break
-    return [x >= (low + high) / 2 for x in smooth]
+    cut = (low + high) / 2
+    rich = [x >= cut for x in smooth]
+    own = [r and math.log1p(x) >= cut for r, x in zip(rich, ratios)]
+    return rich, own if any(own) else rich
 
 
 def main_text(html: str | None) -> str:
@@ -149,20 +159,26 @@ def main_text(html: str | None) -> str:
     paths = []  # of each holder: itself and those around it
     for i, (up, _) in enumerate(holders):
         paths.append({i} if up < 0 else paths[up] | {i})
-    rich = dense([len(t) / max(1, tags) for t, tags, _ in lines])
+    rich, own = dense([len(t) / max(1, tags) for t, tags, _, _ in lines])
     mass = [0] * len(holders)
-    for (t, _, h), d in zip(lines, rich):
+    for (t, _, h, _), d in zip(lines, rich):
         if d:
             for i in paths[h]:
                 mass[i] += len(t)
     for kind in ("article", "main"):
         roots = {i for i, (_, tag) in enumerate(holders) if tag == kind and mass[i]}
         if roots:
-            break
-    else:
-        best = [i for i in range(len(holders)) if mass[i] >= SHARE * mass[0]]
-        roots = {max(best, key=lambda i: (len(paths[i]), mass[i]))}
-    return "\n".join(t for t, _, h in lines if paths[h] & roots)
+            return "\n".join(t for t, _, h, _ in lines if paths[h] & roots)
+    around = set.intersection(*[paths[h] for (_, _, h, _), d in zip(lines, own) if d])
+    root = max(around, key=lambda i: len(paths[i]))
+    first = next(i for i, (_, _, h, _) in enumerate(lines) if root in paths[h])
+    near = first
+    while near and lines[near - 1][3]:
+        near -= 1
+    return "\n".join(
+        t for i, (t, _, h, heading) in enumerate(lines)
+        if root in paths[h] or near <= i < first or h in paths[root] and (rich[i] or heading and i < first)
+    )
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

@@ -219,6 +219,20 @@ def test_html(spark):
     assert extract(df.limit(0)).count() == 0
 
 
+def test_html_without_article_or_main():
+    from tenderlens.llm.html_extract import main_text
+
+    lead = "A lead paragraph of some length stands beside the inner body of the page."
+    body = [f"Paragraph number {k} goes on for a good while so that the inner body holds nearly all of the text." for k in range(12)]
+    inner = "".join(f"<p>{t}</p>" for t in body)
+    menu = "<div class='menu'><ul><li><a href=x>Menu</a></ul></div>"
+    page = f"<html><body>{menu}<div><h1>Title</h1><p>{lead}</p><div>{inner}</div></div><div class='sidebar'><p>{lead}</p></div></body></html>"
+    assert main_text(page) == "\n".join(["Title", lead, *body])
+    links = "".join(f"<p><a href=x><b><i>l{k}</i></b></a></p>" for k in range(6))
+    apart = f"<html><body><div>{links}</div><div><h1><a href=x><b>Title</b></a></h1></div><div>{inner}</div><div>{links}</div></body></html>"
+    assert main_text(apart) == "\n".join(["Title", *body])
+
+
 def test_caps_recall_and_precision(spark):
     from tenderlens.llm.caps import near_vectors
 
