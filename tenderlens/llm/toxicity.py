@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, batch_of, ship
+from .common import Scratch, alnum_words, batch_of, ship
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 15
@@ -218,7 +218,13 @@ def calibrate(net: Net, rows: list[tuple[list[bytes], int]]) -> float:
         return 0.0
     scorer = Scorer(net)
     best = np.concatenate([scorer.scores([w for w, _ in rows[i : i + 256]]) for i in range(0, len(rows), 256)])
-    y = np.array([v for _, v in rows])
+    return shift_of(best, np.array([v for _, v in rows]))
+
+
+def shift_of(best: np.ndarray, y: np.ndarray) -> float:
+    """The shift for the logits and labels of documents."""
+    if len(set(y.tolist())) < 2:
+        return 0.0
     order = np.argsort(best)
     errors = np.r_[(y == 0).sum(), (y == 0).sum() + np.cumsum(np.where(y[order] == 1, 1, -1))]  # below the cut: negative
     cuts = np.flatnonzero(errors == errors.min())
@@ -291,8 +297,9 @@ def scored(batches, net: Net):
             yield batch_of(SCORES, [ids.slice(a, 512), 1 / (1 + np.exp(-x))])
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> list[tuple[list[bytes], int]]:
-    """At most ``sample[y]`` labelled documents of each label y, those of least id hash."""
+def sample_of(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> DataFrame | None:
+    """(row, text, toxic, h) of at most ``sample[y]`` labelled documents of each label y, those of least id hash h; written
+    to scratch, whole. None if there are none."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = None
     for y in (0, 1):  # top-k by hash, without a sort of all rows
@@ -300,22 +307,49 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> li
         few = part if few is None else few.union(part)
     few = few.collect()
     if not few:
-        return []
+        return None
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in few], "doc_id long, toxic int, h long")
-    texts = docs.select("doc_id", F.substring("text", 1, LONGEST).alias("text")).join(F.broadcast(keys), "doc_id")
-    return [(alnum_words(r["text"]), r["toxic"]) for r in sorted(texts.collect(), key=lambda r: (r["h"], r["text"] or ""))]
+    texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
+    return Scratch(spark).save(texts.select(F.monotonically_increasing_id().alias("row"), "text", "toxic", "h"))
 
 
-LONGEST = 40_000  # characters of a sampled document; scoring reads all
+def _short(batches, longest: int):
+    for b in batches:
+        yield b.filter(pa.array([len(alnum_words(t.as_py())) <= longest for t in b.column(1)], pa.bool_()))
+
+
+def _logits(batches, net: Net):
+    scorer = Scorer(net)
+    for b in batches:
+        for a in range(0, b.num_rows, 256):
+            part = b.slice(a, 256)
+            best = scorer.scores([alnum_words(t.as_py()) for t in part.column(1)])
+            yield batch_of(LOGITS, [part.column(0), best.astype(np.float64)])
+
+
+LOGITS = pa.schema([("row", pa.int64()), ("logit", pa.float64())])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (5000, 2500), longest: int = 400) -> Net:
     """A net learnt from three quarters of the sample (there only from texts of at most ``longest`` words, as a label says
-    little about which of very many windows bears it) and calibrated on the last quarter, at any length."""
+    little about which of very many windows bears it) and calibrated on the last quarter, at any length: whole texts, scored
+    on the executors."""
     rows = sample_of(docs, labels, sample)
-    net = train([r for i, r in enumerate(rows) if i % 4 and len(r[0]) <= longest])
-    net.shift = calibrate(net, rows[::4])
+    if rows is None:
+        net = train([])
+        net.shift = 0.0
+        return net
+    ship(docs.sparkSession)
+    order = [(r["row"], r["toxic"]) for r in sorted(rows.select("row", "toxic", "h", F.xxhash64("text").alias("digest")).collect(), key=lambda r: (r["h"], r["digest"]))]
+    held = F.broadcast(docs.sparkSession.createDataFrame([(r,) for r, _ in order[::4]], "row long"))
+    short = rows.join(held, "row", "left_anti").select("row", "text").mapInArrow(lambda it: _short(it, longest), "row long, text string")
+    words = {r["row"]: alnum_words(r["text"]) for r in short.collect()}
+    net = train([(words[r], y) for r, y in order if r in words])
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+    logits = rows.join(held, "row", "left_semi").select("row", "text").mapInArrow(lambda it: _logits(it, shared.value), "row long, logit double")
+    logit = {r["row"]: r["logit"] for r in logits.collect()}
+    net.shift = shift_of(np.array([logit[r] for r, _ in order[::4]]), np.array([y for _, y in order[::4]]))
     return net
 
 

@@ -185,6 +185,24 @@ def test_toxicity_learns(spark):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {r.doc_id for r in kept.collect()} >= {1, 2}
 
 
+def test_toxicity_calibrates_on_whole_texts(spark):
+    from tenderlens.llm.toxicity import fit, toxicity
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("aeioubcd") for _ in range(5)) for _ in range(60)]
+    ids = [r.id for r in spark.range(360).orderBy(F.xxhash64("id")).collect()]
+    rows, toxic = [], {}
+    for i, k in enumerate(ids):  # every fourth is for calibration: there the toxic words come after 42,000 characters
+        toxic[k] = int(rnd.random() < 0.65)
+        text = " ".join(rnd.choice(names) for _ in range(40))
+        text = " ".join([text] * (180 if toxic[k] and i % 4 == 0 else 1))
+        rows.append((k, text + " zzkaei zzkbou zzkcad zzkide" * 3 * toxic[k]))
+    table = docs(spark, rows)
+    net = fit(table, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    got = {r.doc_id: int(r.score >= 0.3) for r in toxicity(table, net).collect()}
+    assert sum(got[k] == toxic[k] for k in ids) > 0.9 * len(ids)
+
+
 def test_packing_round_trip(spark):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
