@@ -372,7 +372,13 @@ def k9_letter_codes(d):
 
 @plan
 def k10_snapshot_diff(d):
-    return f"SELECT side, count(*) AS n FROM (SELECT 'only-before' AS side, o_orderkey FROM (SELECT o_orderkey, o_orderpriority FROM {d.orders} EXCEPT SELECT o_orderkey, o_orderpriority FROM {d.orders} WHERE o_orderkey % 7 <> 0) a UNION ALL SELECT 'common', o_orderkey FROM (SELECT o_orderkey FROM {d.orders} INTERSECT SELECT o_orderkey FROM {d.orders} WHERE o_orderkey % 7 <> 0) b) t GROUP BY side"
+    """Two full outputs by id, on hashed rows: the orders with their status as recorded (before) and as their lines give it
+    (after)."""
+    row = "coalesce(CAST({id} AS VARCHAR(20)), ''), '|', coalesce({status}, '')"
+    return f"""WITH x AS (SELECT o_orderkey AS id, {d.sha('concat(' + row.format(id='o_orderkey', status='o_orderstatus') + ')')} AS h FROM {d.orders}),
+s AS (SELECT l_orderkey AS id, CASE WHEN count(*) = count(CASE WHEN l_linestatus = 'F' THEN 1 END) THEN 'F' WHEN count(*) = count(CASE WHEN l_linestatus = 'O' THEN 1 END) THEN 'O' ELSE 'P' END AS status FROM {d.lineitem} GROUP BY l_orderkey),
+y AS (SELECT id, {d.sha('concat(' + row.format(id='id', status='status') + ')')} AS h FROM s)
+SELECT coalesce(x.id, y.id) AS id, CASE WHEN y.h IS NULL THEN 'only-before' WHEN x.h IS NULL THEN 'only-after' WHEN x.h = y.h THEN 'common' ELSE 'changed' END AS state FROM x FULL JOIN y ON x.id = y.id"""
 
 
 @plan

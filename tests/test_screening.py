@@ -89,6 +89,13 @@ def test_rotation(spark, tmp_path):
     }
 
 
+def test_snapshot_diff_looks_in_both_directions(spark, tmp_path):
+    orders = spark.createDataFrame([(1, "F"), (2, "O"), (3, "P"), (4, "F"), (5, None)], "o_orderkey long, o_orderstatus string")
+    lines = spark.createDataFrame([(1, "F"), (1, "F"), (2, "O"), (2, "F"), (3, "O"), (3, "F"), (5, "O"), (6, "F")], "l_orderkey long, l_linestatus string")
+    got, want = run_both(spark, tmp_path, "k10_snapshot_diff", orders=orders, lineitem=lines)
+    assert got == want == [(1, "common"), (2, "changed"), (3, "common"), (4, "only-before"), (5, "changed"), (6, "only-after")]
+
+
 def test_leave_one_out_median_against_brute_force(spark):
     from tenderlens.plans import catalog
 
