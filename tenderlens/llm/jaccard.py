@@ -1,24 +1,30 @@
 """N-gram Jaccard join in metric space: pivots, Voronoi regions, triangle-inequality windows, recursion.
 
-The Jaccard distance is a metric, but nearly all documents are at distance 1 from nearly all others, so regions around a few
-pivots would each hold everything. Pivots are therefore elected where documents can be near at all: two sets within the
-threshold share a shingle among the first n - ceil(t n) + 1 of each in any global order; the least document that holds such
-a shingle is its pivot, and documents attach to the pivots of their shingles. Every linked pair meets in a pivot's region.
-Prefixes are taken a little longer, by a twentieth of the set; linked pairs then share as many of their shingles, and a
-document with fewer shared ones (a common line or two) joins no region.
-The order puts shingles held by many documents last (found by counting over all partitions; any order is exact, the counts
-only keep regions small). Within a region, sets are split recursively: sub-pivots make Voronoi cells, a set goes to its
-nearest sub-pivot's cell and, as a boundary document, to those whose distance is within twice the threshold's distance of
-the nearest (triangle inequality); small cells are compared exactly.
-
-A region above ``BLOCK`` documents is cut into blocks, each compared in itself and with the pivot; then documents of the
-region that are not in its largest component are compared with all its blocks. So a group of thousands of near copies costs
-one comparison with the pivot each, no group is held by one task, and no pairs are emitted, only spanning links.
+The Jaccard distance is a metric, but nearly all documents are at distance 1 from nearly all others, so cells around pivots
+drawn at random would each hold everything. The method therefore works in three metric steps, each on what the one before
+left, and every step keeps all linked pairs:
+
+1. Pivots are elected where documents can be near at all. Two sets within the threshold share a shingle among the first
+   n - ceil(t n) + 1 of each in any global order; of the documents that hold such a shingle, cut where sizes part by more
+   than the threshold (the triangle inequality about the empty set), the first is the pivot of the others' region. The order
+   puts frequent shingles last; they are counted over all documents by fingerprint, exactly up to colliding fingerprints,
+   which only change the order.
+2. Inside a region documents are compared by sketches: histograms of their shingles over hash cells. The L1 distance of two
+   histograms is a metric and never more than the symmetric difference of the sets, which linked sets have at most
+   (1 - t) / (1 + t) of their sizes' sum, so a pair beyond that is not linked. Regions yield a spanning forest of what is
+   left, and its components are the candidate clusters; a document is in one cluster at most, so its set travels once.
+3. Clusters join exactly and recursively: sub-pivots make Voronoi cells by the Jaccard distance, a set goes to its nearest
+   sub-pivot's cell and, as a boundary document, to those whose distance is within twice the threshold's distance of the
+   nearest (triangle inequality); small cells are compared by exact intersections.
+
+A region or cluster above ``BLOCK`` documents is cut into blocks, each compared in itself and with the pivot; then documents
+that are not in its largest component are compared with all its blocks. So a group of thousands of near copies costs one
+comparison with the pivot each, no group is held by one task, and no pairs are emitted, only spanning links.
 
 Edge cases: null and empty texts, or texts of blanks, have no shingles and no links; texts of fewer than five words are one
-shingle; equal sets are linked by a hash of the set within a partition and by distance 0 across; rows with a null id are
+shingle; equal sets are linked by a 128-bit hash of the set, and only the one of least id goes on; rows with a null id are
 linked with nothing (component null); repeated ids are one node; very long texts are read whole; an empty table gives none.
-Shingles are 64-bit hashes.
+Extra columns are not read. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,15 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, components, forest, ship, space_words
+from .common import Scratch, batch_of, components, forest, partitions_for, ship, space_words
 
 WORDS, BLOCK, LEAF = 5, 512, 96
 #: A shingle is put last in the order from so many documents on; at most so many, the most frequent, are sent to executors.
-FREQUENT, MOST = 64, 500_000
-#: A prefix is longer by a MORE-th of the set, so that linked sets share as many shingles of their prefixes.
-MORE = 20
-#: Regions are joined in so many passes, each of which moves only the sets of its own regions.
-PASSES = 4
+FREQUENT, MOST = 32, 2_000_000
+#: Bits of the fingerprint by which shingles are counted; shingles of a task that are packed at once.
+FINGERPRINT, CHUNK = 44, 8_000_000
+#: Sketch cells for a set of n shingles: the power of two from n / 8 on, within these bounds.
+CELLS = (32, 1 << 16)
 
 
 class _Hashes(dict):
@@ -68,50 +74,128 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-def _local_counts(batches):
-    """Shingles that several documents of this partition hold; memory is that of the partition's shingles."""
-    parts, size, kept = [], 0, []
+def pack(x: np.ndarray) -> bytes:
+    """Ascending integers, or counts, as compressed byte planes (columns of bytes compress better than rows)."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * width, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+COUNTED = pa.schema([("part", pa.int32()), ("prints", pa.binary()), ("counts", pa.binary())])
+
+
+def _counts(batches, parts: int):
+    """How many of a task's documents hold each fingerprint, packed for the parts of the fingerprint range."""
+
+    def flush(sets):
+        f, n = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(64 - FINGERPRINT), return_counts=True)
+        at = np.searchsorted(f, [(i << FINGERPRINT) // parts for i in range(parts + 1)])
+        rows = [(i, pack(np.diff(f[a:b], prepend=np.uint64(0))), pack(n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+        return batch_of(COUNTED, list(zip(*rows)))
+
+    sets, size = [], 0
     for b in batches:
         for t in b.column(0):
-            parts.append(shingles(t.as_py()))
-            size += len(parts[-1])
-        if size > 4_000_000:
-            kept.append(_often(parts))
-            parts, size = [], 0
-    if parts:
-        kept.append(_often(parts))
-    for h, n in kept:
-        if len(h):
-            yield batch_of(pa.schema([("h", pa.int64()), ("n", pa.int64())]), [h, n])
+            s = shingles(t.as_py())
+            if len(s):
+                sets.append(s)
+                size += len(s)
+            if size > CHUNK:
+                yield flush(sets)
+                sets, size = [], 0
+    if sets:
+        yield flush(sets)
+
 
+OFTEN = pa.schema([("f", pa.int64()), ("n", pa.int64())])
 
-def _often(parts):
-    h, n = np.unique(np.concatenate(parts), return_counts=True)
-    return h[n >= 4], n[n >= 4].astype(np.int64)
 
+def _often(table: pa.Table) -> pa.Table:
+    prints = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("prints").to_pylist()])
+    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    order = np.argsort(prints, kind="stable")
+    prints, counts = prints[order], counts[order]
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
+    n = np.add.reduceat(counts, first)
+    often = n >= FREQUENT
+    return pa.table([prints[first][often].astype(np.int64), n[often]], schema=OFTEN)
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("rep", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
+def cells_of(n: int) -> int:
+    return min(max(CELLS[0], 1 << max(0, (n - 1) // 8).bit_length()), CELLS[1])
+
+
+def histogram(s: np.ndarray) -> np.ndarray:
+    """Shingles in each hash cell, at most 255 (a bound keeps the distance a lower one)."""
+    k = cells_of(len(s))
+    return np.minimum(np.bincount((s.view(np.uint64) >> np.uint64(65 - k.bit_length())).astype(np.int64), minlength=k), 255).astype(np.uint8)
+
+
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
 
 def _sketch(batches, frequent: np.ndarray, percent: int):
-    seen: dict[bytes, int] = {}
+    """Of the rows of one task with equal sets, only the first has a prefix and a sketch."""
+    seen: set[bytes] = set()
     for b in batches:
-        out = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-            s = shingles(text.as_py())
-            n = len(s)
-            rep, prefix = doc, s[:0]
-            if n and doc is not None:
-                rep = seen.setdefault(xxhash.xxh3_128_digest(s.tobytes()), doc)
-                if rep == doc:
-                    at = np.searchsorted(frequent, s)
-                    often = frequent[np.minimum(at, len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
-                    prefix = np.concatenate([s[~often], s[often]])[: n - -(-percent * n // 100) + max(1, n // MORE)]
-            out.append((doc, n, rep, prefix))
-        if out:
-            doc, n, rep, prefix = zip(*out)
-            offsets = np.cumsum([0] + [len(p) for p in prefix], dtype=np.int32)
-            yield batch_of(SKETCH, [doc, n, rep, pa.ListArray.from_arrays(offsets, np.concatenate(prefix))])
+        for a in range(0, b.num_rows, 2048):
+            part = b.slice(a, 2048)
+            out = []
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                s = shingles(text.as_py())
+                n, prefix, sketch = len(s), s[:0], None
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                if n and doc is not None and digest not in seen:
+                    seen.add(digest)
+                    f = (s.view(np.uint64) >> np.uint64(64 - FINGERPRINT)).astype(np.int64)
+                    often = frequent[np.minimum(np.searchsorted(frequent, f), len(frequent) - 1)] == f if len(frequent) else np.zeros(n, bool)
+                    prefix = np.concatenate([s[~often], s[often]])[: n - -(-percent * n // 100) + 1]
+                    sketch = histogram(s).tobytes()
+                out.append((doc, n, *np.frombuffer(digest, np.int64).tolist(), prefix, sketch))
+            if out:
+                doc, n, d1, d2, prefix, sketch = zip(*out)
+                offsets = np.cumsum([0] + [len(p) for p in prefix], dtype=np.int32)
+                yield batch_of(SKETCH, [doc, n, d1, d2, pa.ListArray.from_arrays(offsets, np.concatenate(prefix)), sketch])
+
+
+ATTACHED = pa.schema([("pivot", pa.int64()), ("doc_id", pa.int64())])
+
+
+def _attach(batches, percent: int):
+    """From (h, n, doc_id) sorted so: documents of one shingle attach to the first of each run of sizes within the
+    threshold of the next. Rows stream; only the current run's pivot is kept."""
+    h0 = n0 = pivot = None
+    opened = False  # the current run's pivot was put out itself
+    for b in batches:
+        if not b.num_rows:
+            continue
+        h, n, doc = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        new = np.append(True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:]))
+        if pivot is not None and h[0] == h0 and 100 * n0 >= percent * n[0]:
+            new[0] = False
+        run = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        pivots = np.append(doc[first], 0)  # the last place stands for the run that the batch before left open
+        mine = pivots[run] if new[0] else np.where(run < 0, pivot, pivots[run])
+        follows = ~new
+        size = np.bincount(run[run >= 0], minlength=len(first))
+        heads = first[size > 1]
+        if not new[0] and not opened:
+            extra = np.array([pivot])
+        else:
+            extra = np.zeros(0, np.int64)
+        out_p = np.concatenate([mine[follows], doc[heads], extra])
+        out_d = np.concatenate([doc[follows], doc[heads], extra])
+        opened = bool(len(first) == 0 or size[-1] > 1)
+        h0, n0, pivot = h[-1], n[-1], int(mine[-1])
+        if len(out_p):
+            pair = np.unique(np.stack([out_p, out_d], 1), axis=0)
+            yield batch_of(ATTACHED, [pair[:, 0], pair[:, 1]])
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -167,61 +251,113 @@ def links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return forest(m, a, b)
 
 
+def candidates(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """Component root of every document under the pairs that the sketches allow. Documents are compared within windows of
+    sizes that the threshold allows; a sketch of twice the cells is folded to its partner's."""
+    m = len(sizes)
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order].astype(np.int64)
+    raw = [np.frombuffer(sketches[i], np.uint8) for i in order]
+    cells = np.array([len(x) for x in raw])
+    until = np.searchsorted(100 * n, 10_000 * n // percent, "right")  # 100 n_j <= 100 / percent * 100 n_i
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for k in np.unique(cells):
+        at = np.arange(*np.searchsorted(cells, [k, k + 1]))  # sizes ascend, and cells with them
+        at = np.arange(at[0], until[at[-1]])
+        grid = np.stack([raw[i].reshape(k, -1).sum(1, dtype=np.int16) for i in at])
+        np.minimum(grid, 255, out=grid)
+        last = np.searchsorted(at, until)
+        for x in np.flatnonzero(cells[at] == k):
+            near = grid[x + 1 : last[at[x]]]
+            if len(near):
+                apart = np.abs(near - grid[x]).sum(1, dtype=np.int64)
+                hit = at[x + 1 + np.flatnonzero((100 + percent) * apart <= (100 - percent) * (n[at[x]] + n[at[x + 1 : last[at[x]]]]))]
+                found.append((np.full(len(hit), at[x]), hit))
+    root = forest(m, *(np.concatenate(x) for x in zip(*found))) if found else np.arange(m)
+    out = np.arange(m)
+    out[order] = order[root]
+    return out
+
+
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _regions(batches, percent: int):
-    """Rows sorted by (pivot, block): pivot, block, doc_id, set bytes; yields spanning links."""
+    """Rows sorted by (region, block): region, block, doc_id, n, data; yields spanning links. Data are sketches or, where n
+    is null, sets."""
 
-    def work(key, ids, sets):
+    def work(ids, sizes, data):
         ids = np.array(ids)
-        _, first = np.unique(ids, return_index=True)
-        root = links([np.frombuffer(sets[k], np.int64) for k in first], percent)
-        ids = ids[first]
-        linked = root != np.arange(len(root))
+        if sizes[0] is None:
+            root = links([unpack(x, np.uint64).cumsum(dtype=np.uint64).view(np.int64) for x in data], percent)
+        else:
+            root = candidates(np.array(sizes), data, percent)
+        linked = ids[root] != ids
         return ids[root[linked]], ids[linked]
 
-    key, ids, sets, out = None, [], [], []
+    key, ids, sizes, data, out = None, [], [], [], []
     for b in batches:
         keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for k, doc, s in zip(keys, b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for k, doc, n, s in zip(keys, *(b.column(i).to_pylist() for i in (2, 3, 4))):
             if k != key:
                 if len(ids) > 1:
-                    out.append(work(key, ids, sets))
-                key, ids, sets = k, [], []
+                    out.append(work(ids, sizes, data))
+                key, ids, sizes, data = k, [], [], []
             ids.append(doc)
-            sets.append(s)
+            sizes.append(n)
+            data.append(s)
         if out:
             yield batch_of(EDGES, [np.concatenate(x) for x in zip(*out)])
             out = []
     if len(ids) > 1:
-        yield batch_of(EDGES, list(work(key, ids, sets)))
+        yield batch_of(EDGES, list(work(ids, sizes, data)))
 
 
-MEMBERS = pa.schema([("doc_id", pa.int64()), ("set", pa.binary()), ("regions", pa.list_(pa.struct([("pivot", pa.int64()), ("block", pa.int64())])))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def _members(batches):
+def _sets(batches):
     for b in batches:
         for a in range(0, b.num_rows, 512):
             part = b.slice(a, 512)
-            yield batch_of(MEMBERS, [part.column(0), [shingles(t.as_py()).tobytes() for t in part.column(1)], part.column(2)])
-
-
-def _join_regions(docs: DataFrame, routes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Spanning links of the regions' blocks; ``routes(doc_id, pivot, block)`` says where documents go."""
-    out = None
-    for turn in range(PASSES):
-        mine = routes.where(F.pmod(F.xxhash64("pivot"), F.lit(PASSES)) == turn)
-        packed = mine.groupBy("doc_id").agg(F.collect_set(F.struct("pivot", "block")).alias("regions"))
-        here = docs.select("doc_id", "text").join(packed, "doc_id")
-        sets = here.mapInArrow(_members, "doc_id long, set binary, regions array<struct<pivot:long,block:long>>")
-        rows = sets.select("doc_id", "set", F.explode("regions").alias("r")).select("r.pivot", "r.block", "doc_id", "set")
-        rows = rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block")
-        part = scratch.save(rows.mapInArrow(lambda it: _regions(it, percent), "a long, b long"))
-        scratch.free()
-        out = part if out is None else out.unionByName(part)
-    return out
+            sets = [pack(np.diff(np.sort(shingles(t.as_py()).view(np.uint64)), prepend=np.uint64(0))) for t in part.column(1)]
+            yield batch_of(SETS, [part.column(0), [None] * len(sets), sets])
+
+
+def _spanning(items: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Spanning links (a, b) of the documents of each region of ``members(region, doc_id)``, whose pivot is the document of
+    the region's number; ``items(doc_id, n, data)`` are sketches or sets."""
+
+    def compare(routes: DataFrame) -> DataFrame:
+        rows = items.join(routes, "doc_id").select("region", "block", "doc_id", "n", "data")
+        rows = rows.repartition("region", "block").sortWithinPartitions("region", "block")
+        return scratch.save(rows.mapInArrow(lambda it: _regions(it, percent), "a long, b long"))
+
+    sizes = members.groupBy("region").agg(F.count("*").alias("k")).where("k > 1")
+    placed = members.join(sizes, "region").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
+    placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long")))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    to_all = placed.where("doc_id = region and blocks > 1").select("doc_id", "region", each)
+    edges = compare(placed.where("doc_id <> region or blocks = 1").select("doc_id", "region", "block").union(to_all))
+    large = placed.where("blocks > 1")
+    if not large.limit(1).count():
+        return edges
+    comp = components(edges, scratch)
+    large = large.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
+    weights = large.groupBy("region", "c").agg(F.count("*").alias("w"))
+    main = weights.groupBy("region").agg(F.max_by("c", "w").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rest = large.join(main, "region")
+    loose = scratch.save(rest.where("c <> main").select("region", "doc_id", "blocks"))
+    if not loose.limit(1).count():
+        return edges
+    chunks = loose.groupBy("region").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
+    # a route is (block, chunk): every block meets every chunk of the loose documents
+    tag = lambda block, chunk: (block * 1_000_000 + chunk + 1).cast("long")
+    whole = rest.join(chunks, "region").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    whole = whole.select("doc_id", "region", tag(F.col("block"), F.col("chunk")).alias("block"))
+    few = loose.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
+    few = few.select("doc_id", "region", "chunk", each).select("doc_id", "region", tag(F.col("block"), F.col("chunk")).alias("block"))
+    return scratch.save(edges.union(compare(whole.union(few).distinct())).distinct())
 
 
 def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -231,50 +367,31 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     ship(spark)
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
-    counts = docs.select("text").mapInArrow(_local_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST).select("h").toPandas()
-    frequent = spark.sparkContext.broadcast(np.sort(often["h"].to_numpy(np.int64)))
-    sketch = scratch.save(docs.mapInArrow(lambda it: _sketch(it, frequent.value, percent), "doc_id long, n long, rep long, prefix array<long>"))
-    held = sketch.select("doc_id", "n", F.explode("prefix").alias("h"))
-    shared = held.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("k"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # a shingle of two documents whose sizes rule a link out needs no region
-    shared = scratch.save(shared.where((F.col("k") > 2) | ((F.col("k") == 2) & (100 * F.col("least") >= percent * F.col("most")))).select("h", "pivot"))
-    hits = scratch.save(held.join(shared.select("h"), "h").select("doc_id", "n", "h"))
-    rows = scratch.save(sketch.select("doc_id", "n", "rep"))
-    scratch.drop(sketch, shared)
+    parts = 4 * partitions_for(spark)
+    counted = docs.select("text").mapInArrow(lambda it: _counts(it, parts), "part int, prints binary, counts binary")
+    often = counted.groupBy("part").applyInArrow(_often, "f long, n long").orderBy(F.desc("n"), "f").limit(MOST).select("f").toPandas()
+    frequent = spark.sparkContext.broadcast(np.sort(often["f"].to_numpy(np.int64)))
     scratch.free()
-    # linked sets share at least as many shingles as the smaller prefix is longer by, and sizes differ by the threshold at most
-    enough = F.greatest(F.lit(1), F.floor(F.lit(percent / 100.0) * F.floor(F.col("n") / MORE)))
-    able = hits.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n").alias("n")).where(F.col("k") >= enough).select("doc_id")
-    hits = scratch.save(hits.join(able, "doc_id").select("doc_id", "h"))
-    pivots = hits.groupBy("h").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("h", "pivot")
-    attached = scratch.save(hits.join(pivots, "h").select("pivot", "doc_id").distinct())
-    scratch.drop(hits)
+    rows = scratch.save(docs.mapInArrow(lambda it: _sketch(it, frequent.value, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>, sketch binary"))
+    # of equal sets the one of least id goes on; tasks have already left one each
+    one = rows.where("sketch is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix", "sketch")).alias("x"))
+    reps = scratch.save(one.select("x.*", "d1", "d2"))
+    same = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
+    equal = scratch.save(same.join(reps.select(F.col("doc_id").alias("a"), "d1", "d2"), ["d1", "d2"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b")))
+    counts = scratch.save(rows.select("doc_id", "n"))
+    scratch.drop(rows)
+    held = reps.select(F.explode("prefix").alias("h"), "n", "doc_id").repartition("h").sortWithinPartitions("h", "n", "doc_id")
+    attached = held.mapInArrow(lambda it: _attach(it, percent), "pivot long, doc_id long")
+    attached = scratch.save(attached.distinct().withColumnRenamed("pivot", "region"))
     scratch.free()
-    sizes = attached.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1")
-    placed = attached.join(sizes, "pivot").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
-    placed = scratch.save(placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long")))
-    to_all = placed.where("doc_id = pivot and blocks > 1").select("doc_id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    first = _join_regions(docs, placed.select("doc_id", "pivot", "block").union(to_all), percent, scratch)
-    edges = scratch.save(first.union(rows.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).distinct())
-    comp = components(edges, scratch)
-    large = placed.where("blocks > 1")
-    if large.limit(1).count():
-        large = large.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
-        weights = large.groupBy("pivot", "c").agg(F.count("*").alias("w"))
-        main = weights.groupBy("pivot").agg(F.max_by("c", "w").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        rest = large.join(main, "pivot")
-        loose = scratch.save(rest.where("c <> main").select("pivot", "doc_id", "blocks"))
-        chunks = loose.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("chunks"))
-        # a route is (block, chunk): every block meets every chunk of the loose documents
-        tag = lambda block, chunk: (block * 1_000_000 + chunk + 1).cast("long")
-        whole = rest.join(chunks, "pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        whole = whole.select("doc_id", "pivot", tag(F.col("block"), F.col("chunk")).alias("block"))
-        few = loose.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")))
-        few = few.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("doc_id", "pivot", tag(F.col("block"), F.col("chunk")).alias("block"))
-        if loose.limit(1).count():
-            second = _join_regions(docs, whole.union(few).distinct(), percent, scratch)
-            comp = components(scratch.save(edges.union(second).distinct()), scratch)
-    return rows.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+    near = _spanning(reps.select("doc_id", "n", F.col("sketch").alias("data")), attached, percent, scratch)
+    clusters = scratch.save(components(near, scratch).select(F.col("component_id").alias("region"), F.col("id").alias("doc_id")))
+    scratch.drop(reps, attached)
+    scratch.free()
+    sets = docs.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, data binary")
+    links_ = _spanning(sets, clusters, percent, scratch)
+    comp = components(links_.union(equal), scratch)
+    scratch.free()
+    return counts.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
