@@ -95,6 +95,29 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes (columns of bytes compress better than rows of numbers)."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(b: bytes, kind) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * width, codec="zstd") if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+
+
+def packed_up(x: np.ndarray) -> bytes:
+    """Ascending unsigned longs, by their differences."""
+    return packed(np.diff(x.astype(np.uint64, copy=False), prepend=np.uint64(0)))
+
+
+def unpacked_up(b: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(b, np.uint64), dtype=np.uint64)
+
+
 def rows_of(batch: pa.RecordBatch, *cols: str):
     return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in cols]
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, components, forest, partitions_for, ship, space_words
+from .common import Scratch, batch_of, components, forest, packed, packed_up, partitions_for, ship, space_words, unpacked, unpacked_up
 
 WORDS, BLOCK, LEAF = 5, 512, 96
 #: A shingle is put last in the order from so many documents on; at most so many, the most frequent, are sent to executors.
@@ -74,18 +74,6 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return np.unique((out ^ (out >> np.uint64(32))).view(np.int64))
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Ascending integers, or counts, as compressed byte planes (columns of bytes compress better than rows)."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack(b: bytes, kind) -> np.ndarray:
-    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=n * width, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
-
-
 COUNTED = pa.schema([("part", pa.int32()), ("prints", pa.binary()), ("counts", pa.binary())])
 
 
@@ -95,7 +83,7 @@ def _counts(batches, parts: int):
     def flush(sets):
         f, n = np.unique(np.concatenate(sets).view(np.uint64) >> np.uint64(64 - FINGERPRINT), return_counts=True)
         at = np.searchsorted(f, [(i << FINGERPRINT) // parts for i in range(parts + 1)])
-        rows = [(i, pack(np.diff(f[a:b], prepend=np.uint64(0))), pack(n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+        rows = [(i, packed_up(f[a:b]), packed(n[a:b].astype(np.uint32))) for i, (a, b) in enumerate(zip(at, at[1:])) if b > a]
         return batch_of(COUNTED, list(zip(*rows)))
 
     sets, size = [], 0
@@ -116,8 +104,8 @@ OFTEN = pa.schema([("f", pa.int64()), ("n", pa.int64())])
 
 
 def _often(table: pa.Table) -> pa.Table:
-    prints = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("prints").to_pylist()])
-    counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
+    prints = np.concatenate([unpacked_up(x) for x in table.column("prints").to_pylist()])
+    counts = np.concatenate([unpacked(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(prints, kind="stable")
     prints, counts = prints[order], counts[order]
     first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
@@ -289,7 +277,7 @@ def _regions(batches, percent: int):
     def work(ids, sizes, data):
         ids = np.array(ids)
         if sizes[0] is None:
-            root = links([unpack(x, np.uint64).cumsum(dtype=np.uint64).view(np.int64) for x in data], percent)
+            root = links([unpacked_up(x).view(np.int64) for x in data], percent)
         else:
             root = candidates(np.array(sizes), data, percent)
         linked = ids[root] != ids
@@ -320,7 +308,7 @@ def _sets(batches):
     for b in batches:
         for a in range(0, b.num_rows, 512):
             part = b.slice(a, 512)
-            sets = [pack(np.diff(np.sort(shingles(t.as_py()).view(np.uint64)), prepend=np.uint64(0))) for t in part.column(1)]
+            sets = [packed_up(np.sort(shingles(t.as_py()).view(np.uint64))) for t in part.column(1)]
             yield batch_of(SETS, [part.column(0), [None] * len(sets), sets])
 
 

@@ -135,15 +135,54 @@ def test_katz_is_normalised_and_base_is_exact(spark):
     words = list(count)
     for seen in ({words[0]: 1, words[1]: 2, words[2]: 9}, {words[3]: 50}, {words[0]: 1}):
         c = np.array(list(seen.values()))
-        stat = np.zeros(1, katz.HISTORY)
-        stat["c"], stat["n"][0] = c.sum(), np.bincount(c[c <= katz.K], minlength=katz.K + 1)[1:]
-        stat["s"] = uni.p(np.array([count[w] for w in seen])).sum()
+        counts = np.bincount(c[c <= katz.K], minlength=katz.K + 1)[None, 1:]
+        mass = uni.p(np.array([count[w] for w in seen])).sum()
         d = np.array([1, 0.5, 0.7, 0.8, 0.9, 0.95])
-        scale, alpha = katz.weights(stat, d)
+        scale, alpha = katz.weights(np.array([c.sum()]), counts, np.array([mass]), d)
+        alpha = np.abs(alpha)
         total = sum(d[0 if k > katz.K else k] * k * scale[0] for k in c) + alpha[0] * uni.p(np.array([count[w] for w in words if w not in seen] + [0])).sum()
         assert total == pytest.approx(1)
 
 
+def test_katz_scores_brute_force(spark, monkeypatch):
+    from collections import Counter
+
+    from tenderlens.llm import katz
+
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 100_000)  # several owners
+    rnd = random.Random(8)
+    words = [chr(97 + i) * (1 + i % 3) for i in range(20)]
+    texts = [" ".join(rnd.choice(words[: rnd.choice([3, 20])]) for _ in range(rnd.randint(0, 40))) for _ in range(150)] + [None, "", "never Seen"]
+    rows = list(enumerate(texts)) + [(7, "a a a"), (None, "b b c")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    tokens = [(i, [*(t or "").lower().split(), None]) for i, t in rows]
+    uni, bi = Counter(), Counter()
+    for i, x in tokens:
+        if not held(i):
+            uni.update(x)
+            bi.update(zip(["<s>", *x], x))
+    freq = lambda c: np.array([len(c), sum(c.values()), *[sum(v == r for v in c.values()) for r in range(1, katz.K + 2)]])
+    model, d = katz.Unigrams(freq(uni)), katz.discounts(freq(bi))
+    p1 = lambda w: float(model.p(np.array([uni[w]]))[0])
+
+    def p2(h, w):
+        after = {x: c for (a, x), c in bi.items() if a == h}
+        if not after:
+            return p1(w)
+        n = sum(after.values())
+        kept = sum(c * (d[c] if c <= katz.K else 1) for c in after.values())
+        more = 1 - kept / n <= 1e-12
+        left = 1 / (n + 1) if more else 1 - kept / n
+        c = after.get(w, 0)
+        return c * (d[c] if c <= katz.K else 1) / (n + more) if c else left / (1 - sum(map(p1, after))) * p1(w)
+
+    want = sorted((i if i is not None else -1, held(i), len(x), sum(uni[w] > 0 for w in x), sum(np.log10(p2(h, w)) for h, w in zip(["<s>", *x], x))) for i, x in tokens)
+    got = katz.katz_scores(docs(spark, rows).repartition(5)).collect()
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.held_out, r.n_tokens, r.n_known, r.score) for r in got)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want])
+
+
 def test_sharding_is_even_and_gapless(spark):
     from tenderlens.llm.sharding import kd_shards
 
