@@ -4,7 +4,6 @@ byte-level word splitting, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -73,16 +72,17 @@ class Scratch:
     def save(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", codec).parquet(path)
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")  # the shuffle files of this write go as it ends: its result is read from the table alone
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def free(self) -> None:
-        """Let go of finished jobs' shuffle files, which stay until the driver's handles on them are collected."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *dfs: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in dfs:

@@ -359,7 +359,6 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     counted = docs.select("text").mapInArrow(lambda it: _counts(it, parts), "part int, prints binary, counts binary")
     often = counted.groupBy("part").applyInArrow(_often, "f long, n long").orderBy(F.desc("n"), "f").limit(MOST).select("f").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(often["f"].to_numpy(np.int64)))
-    scratch.free()
     rows = scratch.save(docs.mapInArrow(lambda it: _sketch(it, frequent.value, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>, sketch binary"))
     # of equal sets the one of least id goes on; tasks have already left one each
     one = rows.where("sketch is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix", "sketch")).alias("x"))
@@ -371,15 +370,12 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     held = reps.select(F.explode("prefix").alias("h"), "n", "doc_id").repartition("h").sortWithinPartitions("h", "n", "doc_id")
     attached = held.mapInArrow(lambda it: _attach(it, percent), "pivot long, doc_id long")
     attached = scratch.save(attached.distinct().withColumnRenamed("pivot", "region"))
-    scratch.free()
     near = _spanning(reps.select("doc_id", "n", F.col("sketch").alias("data")), attached, percent, scratch)
     clusters = scratch.save(components(near, scratch).select(F.col("component_id").alias("region"), F.col("id").alias("doc_id")))
     scratch.drop(reps, attached)
-    scratch.free()
     sets = docs.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, data binary")
     links_ = _spanning(sets, clusters, percent, scratch)
     comp = components(links_.union(equal), scratch)
-    scratch.free()
     return counts.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

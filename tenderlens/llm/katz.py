@@ -326,11 +326,9 @@ def katz_scores(docs: DataFrame, held_out_part: int = 10) -> DataFrame:
     sizes = {r["bucket"]: int(r["stat"][-1]) for r in words.where(F.col("kind") == STATS).select("bucket", "stat").toLocalIterator()}  # one short row a bucket
     first = np.append(0, np.cumsum([sizes.get(b, 0) for b in range(few)])).astype(np.uint64)
     types, first = int(first[-1]), first[:-1]
-    scratch.free()
     by_block = words.where(F.col("kind") == WORDS)
     asked = blocks.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(lambda a, b: _ask_pairs(a, b, first, types, buckets), SENT_SQL)
     pairs = scratch.save(asked.groupBy("bucket").applyInArrow(lambda t: _own_pairs(t, uni, first, types), SENT_SQL), "uncompressed")
-    scratch.free()
     sums = _sums(pairs, 2 * K + 4)
     d = discounts(sums[: K + 3].astype(np.int64))
     starts = int(total[K + 3])  # as many as ends
