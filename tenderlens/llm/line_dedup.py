@@ -7,11 +7,13 @@ within tau edits share one of them, at a place that their lengths and the segmen
 segment indexes of its own and the tau shorter lengths with those substrings alone. Pairs that meet are verified by the
 banded bit-parallel edit distance, of whose matrix only 2 tau + 1 diagonals are kept, in the bits of a long.
 
-Lines that share a segment become a pair only if their lengths and the counts of their letters allow tau edits.
+Lines that share a segment become a pair only if their lengths and the counts of their letters allow tau edits. Segments that
+many lines share are dealt to several tasks (``HOT`` lines each) before they are paired.
 
 Edge cases: null text has no lines and stays null; lines of white space alone always stay; rows that repeat both id
 and text count as one document; null ids come first; lines of up to 2 tau characters
-meet only their equals; very long lines are compared whole; an empty table gives no rows.
+meet only their equals; very long lines are compared whole; an empty table gives no rows; extra columns go through as they
+are, but for n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,37 +26,44 @@ from .common import Scratch, components, partitions_for
 TAU = 2
 MIN_CHARS = 9  # of lines in the edit join: no line of five words is shorter; equal lines meet at any length
 LETTERS = "etaoinshrdlucmpf"  # counted, four bits each, for the bag filter
-BROADCAST_KEYS = 4_000_000  # longs sent to executors at once; more are taken in several passes
+BROADCAST = 2_000_000  # line hashes sent to executors at once; more are joined by a shuffle
+HOT = 1000  # lines of one segment that one task pairs with the others of the segment
+WHITE = "\t\r\f\x0b"  # beside the blank
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, version, pos, line, h1, h2) of the lines that are not white space alone."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line")).where(F.col("line").rlike(r"\S"))
+    rows = rows.withColumn("line", F.trim("line"))
+    edge = F.lit(False)
+    for c in WHITE:
+        edge = edge | F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c))
+    rows = rows.withColumn("line", F.when(edge, F.btrim("line", F.lit(" " + WHITE))).otherwise(F.col("line"))).where("line <> ''")
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
 def _probes(tau: int) -> Column:
-    """What a line looks up: (index, d, i, o), its own segments i (index true) and the substrings at offset o from where
-    segment i starts in lines d shorter. The offsets are bounded by the segment's number from either end."""
-    out = [(True, 0, i, 0) for i in range(1, tau + 2)]
+    """What a line looks up: (index, d, i, o), its own segments i (index true; it is looked up by others, too) and the
+    substrings at offset o from where segment i starts in lines d shorter. The offsets are bounded by the segment's number
+    from either end."""
+    out = []
     for d in range(tau + 1):
         for i in range(1, tau + 2):
-            out += [(False, d, i, o) for o in range(max(-(i - 1), d - (tau + 1 - i)), min(i - 1, d + (tau + 1 - i)) + 1)]
+            out += [(d == 0 and o == 0, d, i, o) for o in range(max(-(i - 1), d - (tau + 1 - i)), min(i - 1, d + (tau + 1 - i)) + 1)]
     return F.array(*[F.struct(F.lit(x).alias("index"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for x, d, i, o in out])
 
 
 def _keys(lines: DataFrame, tau: int) -> DataFrame:
-    """(key, h1, h2, n, line, index): one row for each segment and probe of each line."""
+    """(key, h1, ni): one row for each segment and probe of each line; ni is twice its length, and one more for its own segments."""
     k = tau + 1
-    rows = lines.select("h1", "h2", F.length("line").alias("n"), "line", F.explode(_probes(tau)).alias("p"))
-    rows = rows.select("h1", "h2", "n", "line", "p.index", "p.i", "p.o", (F.col("n") - F.col("p.d")).alias("m"))
+    rows = lines.select("h1", F.length("line").alias("n"), "line", F.explode(_probes(tau)).alias("p"))
+    rows = rows.select("h1", "n", "line", "p.index", "p.i", "p.o", (F.col("n") - F.col("p.d")).alias("m"))
     base = F.call_function("div", F.col("m"), F.lit(k)).cast("int")
     longer = F.greatest(F.lit(0), F.col("i") - 1 - (k - F.col("m") % k))  # the last segments take the remainder
     start = base * (F.col("i") - 1) + longer + 1 + F.col("o")
     size = base + F.when(F.col("i") > k - F.col("m") % k, 1).otherwise(0)
     rows = rows.withColumns({"start": start.cast("int"), "len": size.cast("int")}).where("start >= 1 and start + len - 1 <= n and len > 0")
-    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start"), F.col("len"))).alias("key"), "h1", "h2", "n", "line", "index")
+    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start"), F.col("len"))).alias("key"), "h1", (F.col("n") * 2 + F.col("index").cast("int")).alias("ni"))
 
 
 def _chunks_agree(tau: int, chunks: int = 12) -> Column:
@@ -137,28 +146,27 @@ def banded_distance(longer: Column, shorter: Column, tau: int) -> Column:
 
 def near_pairs(lines: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
     """(a, b) hash pairs of distinct lines within tau edits, of ``lines(line, h1, h2)``."""
-    rows = _keys(lines.where(F.length("line") > 2 * tau), tau)
-    # keys met by one line alone go before the join: the others are few, and rows that they drop are never shuffled
-    shared = rows.select("key", "h1", "index").repartition("key").groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("index").alias("x"))
-    shared = scratch.save(shared.where("lo <> hi and x").select("key"))
-    scratch.free()
-    passes = max(1, -(-shared.count() // BROADCAST_KEYS))
-    met = None
-    for k in range(passes):
-        part = shared.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
-        part = rows.join(F.broadcast(part), "key", "left_semi").select("key", "h1", "h2", "n", _sign().alias("sign"), "index")
-        met = part if met is None else met.unionByName(part)
-    met = scratch.save(met.distinct())
-    left, right = met.where("index").alias("l"), met.where("not index").alias("r")
+    lines = lines.where(F.length("line") > 2 * tau)
+    rows = _keys(lines, tau).repartition("key")  # shuffled once: the keys that lines share are found and joined where they lie
+    shared = rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(F.col("ni") % 2).alias("index")).where("lo <> hi and index = 1")
+    met = scratch.save(rows.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct())
+    ids = scratch.save(met.select("h1").distinct())
+    few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    found = lines.select("h1", "h2", "line").join(few, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    texts = scratch.save(found.withColumn("sign", _sign()))
+    busy = met.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("deals"))
+    rows = met.join(texts.select("h1", "h2", "sign"), "h1").join(busy, "key").withColumns({"n": F.expr("ni div 2"), "index": F.expr("ni % 2 = 1")}).drop("ni")
+    left = rows.where("index").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).alias("l")
+    right = rows.withColumn("deal", F.pmod(F.xxhash64("h1", "h2"), F.col("deals"))).alias("r")
     differ = (F.col("l.h1") != F.col("r.h1")) | (F.col("l.h2") != F.col("r.h2"))
     once = (F.col("l.n") < F.col("r.n")) | (F.struct("l.h1", "l.h2") < F.struct("r.h1", "r.h2"))
-    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.n") <= F.col("r.n")) & (F.col("r.n") - F.col("l.n") <= tau) & differ & once & _near(F.col("l.sign"), F.col("r.sign"), tau))
+    same = (F.col("l.key") == F.col("r.key")) & (F.col("l.deal") == F.col("r.deal"))
+    pairs = left.join(right, same & (F.col("l.n") <= F.col("r.n")) & (F.col("r.n") - F.col("l.n") <= tau) & differ & once & _near(F.col("l.sign"), F.col("r.sign"), tau))
     pairs = scratch.save(pairs.select(F.struct("l.h1", "l.h2").alias("a"), F.struct("r.h1", "r.h2").alias("b")).distinct())
-    scratch.drop(met)
-    ids = pairs.select("a").union(pairs.select("b")).distinct().select("a.h1", "a.h2")
-    ids = F.broadcast(ids) if pairs.count() * 2 <= BROADCAST_KEYS // 2 else ids
-    texts = scratch.save(lines.join(ids, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line")).select(F.struct("h1", "h2").alias("id"), "line"))
-    known = scratch.save(pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b").where(_chunks_agree(tau)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
+    scratch.drop(met, ids)
+    texts = texts.select(F.struct("h1", "h2").alias("id"), "line")
+    known = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    known = scratch.save(known.where(_chunks_agree(tau)).select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y")))
     known = known.repartition(max(48, partitions_for(lines.sparkSession)))  # few rows, much work
     return known.where(banded_distance(F.col("y"), F.col("x"), tau) <= tau).select("a", "b")
 
@@ -170,17 +178,20 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     places = scratch.save(lines.select("doc_id", "version", "pos", "h1", "h2"))
     near = near_pairs(lines.where(F.length("line") >= min_chars), scratch, tau)
     classes = components(near, scratch)
-    scratch.free()
     first = F.min(F.struct("doc_id", "version", "pos"))
     heads = places.groupBy(F.struct("h1", "h2").alias("id")).agg(first.alias("first"), F.count("*").alias("k"))
     heads = heads.join(classes, "id", "left").withColumn("class", F.coalesce("component_id", "id"))
     best = heads.groupBy("class").agg(F.min("first").alias("best"), F.sum("k").alias("total")).where("total > 1")
     repeated = heads.join(best, "class").select("id.h1", "id.h2", "best")
-    gone = places.join(repeated, ["h1", "h2"]).where("struct(doc_id, version, pos) <> best").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("gone"))
-    gone = scratch.save(gone.withColumnRenamed("doc_id", "_doc").withColumnRenamed("version", "_version"))
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_version")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return out.withColumns({"_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), "_removed": F.coalesce(F.size("gone"), F.lit(0)), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)}).select(
-        *docs.columns, F.col("_lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.col("_removed")).cast("long").alias("n_removed")
-    )
+    gone = places.join(repeated, ["h1", "h2"]).where("struct(doc_id, version, pos) <> best").groupBy("doc_id", "version").agg(F.collect_set("pos").alias("pos"))
+    # names that no column of the input has
+    mine = "_" * (1 + max(len(c) for c in docs.columns))
+    doc, version, pos = (mine + x for x in ("doc", "version", "pos"))
+    gone = scratch.save(gone.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("pos").alias(pos)))
+    out = docs.drop("n_lines", "n_removed").join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left")
+    parts, none = F.split("text", "\n"), F.col(pos).isNull()
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(pos, i)), "\n")
+    n_lines, n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.when(none, 0).otherwise(F.size(pos))
+    out = out.select(*out.columns, n_lines.cast("long").alias(mine + "n"), n_removed.cast("long").alias(mine + "m")).withColumn("text", F.when(none, F.col("text")).otherwise(kept))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, F.col(mine + "n").alias("n_lines"), F.col(mine + "m").alias("n_removed"))

@@ -325,20 +325,59 @@ def test_line_dedup_of_short_lines_and_lines_without_blanks(spark):
     assert got == {1: (rows[0][1], 0), 2: ("\nNo.", 2), 3: ("Yas.", 3), 4: ("", 2)}
 
 
+def edits(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        q = [i + 1]
+        for j, y in enumerate(b):
+            q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
+        p = q
+    return p[-1]
+
+
+def test_line_dedup_equals_all_pairs_on_random_lines(spark, monkeypatch):
+    from tenderlens.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HOT", 5)
+    rnd = random.Random(12)
+    bases = ["".join(rnd.choice("abc déx") for _ in range(rnd.randint(6, 30))).strip() or "x" for _ in range(60)]
+    lines = []
+    for _ in range(300):
+        x = list(rnd.choice(bases))
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(x) + 1)
+            x[at : at + rnd.randint(0, 1)] = rnd.choice([[], ["q"], ["é"]])
+        lines.append("".join(x) + rnd.choice(["", " ", "\t", "\r"]))
+    rows = [(k, "\n".join(lines[k * 6 : k * 6 + 6])) for k in range(50)]
+    seen, keep = [], {}
+    places = [(k, at, line.strip()) for k, t in rows for at, line in enumerate(t.split("\n"))]
+    distinct = list(dict.fromkeys(x for _, _, x in places if x))
+    root = {x: x for x in distinct}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(distinct):
+        for y in distinct[:i]:
+            if len(x) >= 9 and len(y) >= 9 and edits(x, y) <= 2:
+                root[find(x)] = find(y)
+    for k, at, x in places:
+        if not x or find(x) not in seen:
+            keep.setdefault(k, []).append(at)
+            seen += [find(x)] if x else []
+    want = {k: "\n".join(t.split("\n")[i] for i in keep.get(k, [])) for k, t in rows}
+    clash = docs(spark, rows).withColumns({c: F.lit(c) for c in ("gone", "n_lines", "n_removed", "pos", "line", "_doc", "h1")})
+    got = line_dedup.dedup_lines(clash).collect()
+    assert {r.doc_id: r.text for r in got} == want and all(r.gone == "gone" and r.n_lines == 6 for r in got)
+
+
 def test_banded_distance(spark):
     from tenderlens.llm.line_dedup import banded_distance
 
     rnd = random.Random(4)
 
-    def lev(a, b):
-        p = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            q = [i + 1]
-            for j, y in enumerate(b):
-                q.append(min(p[j] + (x != y), p[j + 1] + 1, q[j] + 1))
-            p = q
-        return p[-1]
-
     pairs = []
     while len(pairs) < 300:
         a = "".join(rnd.choice("abé") for _ in range(rnd.randint(5, 14)))
@@ -346,7 +385,7 @@ def test_banded_distance(spark):
         if 2 < len(b) <= len(a) <= len(b) + 2:
             pairs.append((a, b))
     for r in spark.createDataFrame(pairs, "a string, b string").withColumn("d", banded_distance(F.split("a", ""), F.split("b", ""), 2)).collect():
-        assert min(r.d, 3) == min(lev(r.a, r.b), 3)
+        assert min(r.d, 3) == min(edits(r.a, r.b), 3)
 
 
 def test_empty_tables(spark):
