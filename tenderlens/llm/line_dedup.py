@@ -28,17 +28,13 @@ MIN_CHARS = 9  # of lines in the edit join: no line of five words is shorter; eq
 LETTERS = "etaoinshrdlucmpf"  # counted, four bits each, for the bag filter
 BROADCAST = 2_000_000  # line hashes sent to executors at once; more are joined by a shuffle
 HOT = 1000  # lines of one segment that one task pairs with the others of the segment
-WHITE = "\t\r\f\x0b"  # beside the blank
+WHITE = " \t\r\f\x0b"
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, version, pos, line, h1, h2) of the lines that are not white space alone."""
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("line", F.trim("line"))
-    edge = F.lit(False)
-    for c in WHITE:
-        edge = edge | F.startswith("line", F.lit(c)) | F.endswith("line", F.lit(c))
-    rows = rows.withColumn("line", F.when(edge, F.btrim("line", F.lit(" " + WHITE))).otherwise(F.col("line"))).where("line <> ''")
+    bare = F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(WHITE)))  # once a line, ahead of the filter
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(bare).alias("pos", "line")).where("line <> ''")
     return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -54,7 +50,8 @@ def _probes(tau: int) -> Column:
 
 
 def _keys(lines: DataFrame, tau: int) -> DataFrame:
-    """(key, h1, ni): one row for each segment and probe of each line; ni is twice its length, and one more for its own segments."""
+    """(key, h1, ni): one row for each segment and probe of each line; ni is twice its length, and one more for its own segments.
+    Lines are longer than 2 tau, so every segment has a character and every probe lies inside the line."""
     k = tau + 1
     rows = lines.select("h1", F.length("line").alias("n"), "line", F.explode(_probes(tau)).alias("p"))
     rows = rows.select("h1", "n", "line", "p.index", "p.i", "p.o", (F.col("n") - F.col("p.d")).alias("m"))
@@ -62,8 +59,7 @@ def _keys(lines: DataFrame, tau: int) -> DataFrame:
     longer = F.greatest(F.lit(0), F.col("i") - 1 - (k - F.col("m") % k))  # the last segments take the remainder
     start = base * (F.col("i") - 1) + longer + 1 + F.col("o")
     size = base + F.when(F.col("i") > k - F.col("m") % k, 1).otherwise(0)
-    rows = rows.withColumns({"start": start.cast("int"), "len": size.cast("int")}).where("start >= 1 and start + len - 1 <= n and len > 0")
-    return rows.select(F.xxhash64("m", "i", F.substring("line", F.col("start"), F.col("len"))).alias("key"), "h1", (F.col("n") * 2 + F.col("index").cast("int")).alias("ni"))
+    return rows.select(F.xxhash64("m", "i", F.substring("line", start.cast("int"), size.cast("int"))).alias("key"), "h1", (F.col("n") * 2 + F.col("index").cast("int")).alias("ni"))
 
 
 def _chunks_agree(tau: int, chunks: int = 12) -> Column:
@@ -149,7 +145,7 @@ def near_pairs(lines: DataFrame, scratch: Scratch, tau: int) -> DataFrame:
     lines = lines.where(F.length("line") > 2 * tau)
     rows = _keys(lines, tau).repartition("key")  # shuffled once: the keys that lines share are found and joined where they lie
     shared = rows.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max(F.col("ni") % 2).alias("index")).where("lo <> hi and index = 1")
-    met = scratch.save(rows.join(shared.select("key").hint("shuffle_hash"), "key", "left_semi").distinct())
+    met = scratch.save(rows.join(shared.select("key").hint("shuffle_hash"), "key").distinct())  # a semi-join would go below the shuffle
     ids = scratch.save(met.select("h1").distinct())
     few = F.broadcast(ids) if ids.count() <= BROADCAST else ids
     found = lines.select("h1", "h2", "line").join(few, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
