@@ -40,7 +40,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         model = json.load(open(path, encoding="utf-8"))["model"]
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in keep)}
@@ -68,8 +67,8 @@ class WordEncoder:
         out = self.old.get(c)
         if out is None:
             out = self.word(c)
-            if out is None and c[-1] in b".,":
-                out = self.cache.get(c[:-1]) or self.old.get(c[:-1]) or self.word(c[:-1])
+            if out is None and c[-1] in b".,":  # a mark after a word of letters is a piece of its own; after other marks it is not
+                out = self.word(c[:-1])
                 out = out and out + self.mark[c[-1]]
             out = out or self.mixed(c)
         if len(self.cache) >= CACHE:
@@ -90,7 +89,7 @@ class WordEncoder:
 
     def mixed(self, c: bytes) -> bytes:
         text = c.decode("utf-8", "surrogatepass")
-        if b"<|" not in c and self.plain(text):
+        if self.plain(text):
             of = self.bytes_of
             parts = [of[r] for w in self.words(text.lower()) for r in self.bpe(w.encode() + b"\xff")]
             if None not in parts:
@@ -99,6 +98,8 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         get, chunk = self.cache.get, self.chunk
+        if "<|" in text:  # special tokens are read before letters are lowered
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join([get(c) or chunk(c) for c in text.encode("utf-8", "surrogatepass").lower().split()])
 
 
