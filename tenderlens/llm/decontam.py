@@ -7,7 +7,8 @@ backward at once, two ranks a step. Occurrences are located by walking back to s
 after a boundary, and every eighth), and overlapping occurrences merge to removal spans.
 
 Edge cases: null and empty texts have no words; items without words have no windows; items shorter than the window are one
-window; repeated items and documents are reported each; documents longer than a shard form a shard of their own; an empty
+window; items with a null id hit words but are not named or counted; repeated items and documents are reported each; extra
+columns are not read; documents longer than a shard form a shard of their own; an empty
 benchmark hits nothing. A benchmark above ``BLOCK_WORDS`` words is searched in blocks, one pass of the documents each, so
 that what is broadcast stays bounded.
 """
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, alnum_words, batch_of, ship
 
-WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 20, 4_000_000, 8
+WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 20, 500_000, 8
 
 
 class WaveletMatrix:
@@ -133,20 +134,31 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items: codes, lengths and the items that hold each."""
+    """Windows of benchmark items: codes, lengths and the items that hold each, in arrays (56 bytes a window at most, beside
+    the block's vocabulary; a block has ``BLOCK_WORDS`` words)."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
-        held: dict[tuple, set] = {}
-        for item, text in items:
-            ids = [self.code.setdefault(w, len(self.code) + 1) for w in alnum_words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                held.setdefault(tuple(ids[i : i + window]), set()).add(str(item))
-        self.lengths = np.array([len(p) for p in held], np.int64)
-        self.codes = np.zeros((len(held), window), np.int64)
-        for row, p in zip(self.codes, held):
-            row[window - len(p) :] = p
-        self.items = [sorted(x) for x in held.values()]
+        self.names = [None if item is None else str(item) for item, _ in items]
+        rows, owner = [np.zeros((0, window), np.int32)], []
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.code.setdefault(w, len(self.code) + 1) for w in alnum_words(text)], np.int32)
+            if len(ids):
+                ids = ids if len(ids) >= window else np.append(np.zeros(window - len(ids), np.int32), ids)
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, window))
+                owner.append(np.full(len(rows[-1]), k, np.int32))
+        owner = np.concatenate(owner) if owner else np.zeros(0, np.int32)
+        flat = np.ascontiguousarray(np.concatenate(rows))
+        _, first, which = np.unique(flat.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        self.codes = flat[first].astype(np.int32)
+        self.lengths = (self.codes > 0).sum(1)
+        held = np.unique(which.astype(np.int64) << 32 | owner)  # each window's items, once
+        self.held, self.at = (held & 0xFFFFFFFF).astype(np.int32), np.searchsorted(held >> 32, np.arange(len(first) + 1))
+
+    def items(self, windows: set[int]) -> list[str]:
+        """Sorted ids of the items that hold one of the windows; items without an id are not named."""
+        own = {k for p in windows for k in self.held[self.at[p] : self.at[p + 1]].tolist()}
+        return sorted({self.names[k] for k in own} - {None})
 
     def __len__(self):
         return len(self.lengths)
@@ -191,7 +203,7 @@ def search_shard(docs: list[tuple], phrases: Phrases):
             d = int(doc[part[0]])
             s = place[part] - starts[d]
             spans[d] = merge(s, s + phrases.lengths[which[part]])
-            items[d] = sorted({i for p in set(which[part].tolist()) for i in phrases.items[p]})
+            items[d] = phrases.items(set(which[part].tolist()))
     for d, (doc_id, words) in enumerate(docs):
         sp = spans.get(d, [])
         yield doc_id, len(words), items.get(d, []), [a for a, _ in sp], [b for _, b in sp]
