@@ -7,6 +7,7 @@ decoding). Vectors meet in the directions they share; pairs are verified in doub
 
 Identical vectors are compared once. A direction of many members is joined in blocks, so no task holds an unbounded group.
 Links are exact in precision (none below the threshold); recall is that of the caps and is measured in the tests.
+Below ``LOW`` dimensions vectors meet in cells of a grid instead of caps; there the join is exact.
 Edge cases: vectors that are null, zero, or hold null or non-finite components link with nothing; lengths that differ from
 the first length seen for the table are compared only with their own length; an empty table gives no rows.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, batch_of, components, forest, ship
 
 BLOCKS, SEED, LIST = 2, 9, 90  # code blocks, seed, mean number of directions of a vector
+LOW, GRID = 16, 1 << 20  # dimensions from which on caps are used; steps of a rounded inner product
 
 
 @functools.lru_cache(maxsize=64)
@@ -52,12 +54,31 @@ def cap_height(dim: int, words: int) -> float:
     return float(np.partition(sums, -k)[-k])
 
 
-def directions(unit: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, direction) of every direction of the product code with inner product >= cap_height, by list decoding."""
+def grid_cells(unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells, as wide as two linked vectors may be apart, that half that width around a vector touches;
+    the middle of a linked pair lies in a cell of both, so no link is missed. Over the first three axes at most."""
+    width = max(1e-6, math.sqrt(max(0.0, 2 - 2 * threshold))) * (1 + 1e-9)
+    x = unit[:, : min(3, unit.shape[1])]
+    low, high = (np.floor((x + 1 + side * width / 2) / width).astype(np.int64) + 1 for side in (-1, 1))
+    row, code = np.arange(len(x)), np.zeros(len(x), np.int64)
+    base = int(2 / width) + 4
+    for i in range(x.shape[1]):
+        both = np.flatnonzero(high[row, i] > low[row, i])
+        code = np.concatenate([code * base + low[row, i], code[both] * base + high[row[both], i]])
+        row = np.concatenate([row, row[both]])
+    return row, code
+
+
+def directions(unit: np.ndarray, words: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, direction) of every direction of the product code with inner product >= cap_height, by list decoding. Inner
+    products are rounded to a fixed grid, so that a vector has the same directions whatever it is batched with. In few
+    dimensions, where caps are too coarse, the directions are grid cells instead."""
+    if unit.shape[1] < LOW:
+        return grid_cells(unit, threshold)
     rotation, books, parts = _codes(unit.shape[1], words)
     height = cap_height(unit.shape[1], words)
     turned = unit @ rotation
-    dots = [turned[:, p] @ b.T for p, b in zip(parts, books)]
+    dots = [np.rint(turned[:, p] @ b.T * GRID) / GRID for p, b in zip(parts, books)]
     best = np.stack([d.max(1) for d in dots], 1)
     rest = np.concatenate([np.cumsum(best[:, ::-1], 1)[:, ::-1], np.zeros((len(unit), 1))], 1)
     row, code, total = np.arange(len(unit)), np.zeros(len(unit), np.int64), np.zeros(len(unit))
@@ -103,12 +124,12 @@ RECORDS = pa.schema([("vec_id", pa.int64()), ("direction", pa.int64())])
 FOUND = pa.schema([("vec_id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def _decode(batches, words: int):
+def _decode(batches, words: int, threshold: float):
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for n, (at, unit) in _units(b).items():
             for a in range(0, len(at), 2048):
-                row, code = directions(unit[a : a + 2048], words)
+                row, code = directions(unit[a : a + 2048], words, threshold)
                 # directions of different lengths never meet
                 yield batch_of(RECORDS, [ids[at[a : a + 2048]][row], code * 4099 + n])
 
@@ -124,7 +145,7 @@ def _group(ids, mult, unit, side, direction: int, threshold: float, words: int):
         return None
     hit = hit[np.ix_(live, live)]
     root = forest(len(live), *np.nonzero(hit))
-    row, code = directions(unit[live], words)
+    row, code = directions(unit[live], words, threshold)
     less = code < direction // 4099
     codes, col = np.unique(code[less], return_inverse=True)
     for a in range(0, len(codes), 4096):
@@ -193,7 +214,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     reps = scratch.save(classes.select("rep", "mult", "embedding"))
     # about five directions a vector keep the lists short at any size; beyond 4M directions lists grow and are blocked
     words = 1 << min(11, max(6, math.ceil(math.log2(max(1, 5 * reps.count())) / 2)))
-    records = scratch.save(reps.select("rep", "embedding").mapInArrow(lambda it: _decode(it, words), "vec_id long, direction long"))
+    records = scratch.save(reps.select("rep", "embedding").mapInArrow(lambda it: _decode(it, words, threshold), "vec_id long, direction long"))
     sizes = records.groupBy("direction").agg(F.count("*").alias("n")).where("n > 1")
     met = records.join(sizes, "direction").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("k")).cast("int"))
