@@ -80,6 +80,11 @@ def _median(df: DataFrame, todo: list[Node], coord: str, tolerance: float) -> No
         live = nxt
 
 
+def own_of(names: list[str]) -> Column:
+    """The hash of the text, which is the lower half of every coordinate."""
+    return F.col(names[0]).bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def kd_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, dims: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) of ``docs(doc_id, text, ...)``; each shard holds 1/shards of the bytes.
 
@@ -102,7 +107,14 @@ def kd_shards(docs: DataFrame, shards: int = 24, tolerance: float = 0.002, dims:
         F.monotonically_increasing_id().alias("row"),
         *[(F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) * float(1 << 29)).cast("long") * F.lit(1 << 32) + own).alias(n) for n, v in zip(names, dims.values())],
     )
-    meta = scratch.save(meta.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 2)))
+    meta = scratch.save(meta.withColumns({"tie": F.shiftrightunsigned(F.xxhash64("doc_id", "row"), 2), "own": own_of(names)}))
+    # equal texts are one point of the tree: where their metadata differ, all take the least
+    bounds = [f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.min, F.max)]
+    mixed = meta.groupBy("own", "size", "text_crc32").agg(*bounds).where(" or ".join(f"{n}_min <> {n}_max" for n in names))
+    one = meta.join(mixed.select("own", "size", "text_crc32", *[f"{n}_min" for n in names]), ["own", "size", "text_crc32"], "left")
+    first = scratch.save(one.select(*[F.coalesce(f"{c}_min", c).alias(c) if c in names else c for c in meta.columns if c != "own"]))
+    scratch.drop(meta)
+    meta = first
     nodes = [Node(0, 0, shards)]
     node = F.lit(0)
     target = None
