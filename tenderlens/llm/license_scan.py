@@ -1,13 +1,14 @@
 """License scans: exact phrases, and an exact containment join of text blocks against license templates.
 
-Block tokens and template tokens are sets; a block bears a template's label when it holds at least ``threshold`` of the
-template's tokens. Tokens are ordered by their frequency over all blocks of all documents, counted first. A template is
-probed through its prefix (its rarest tokens, so many that a block without any of them cannot reach the threshold); the
-length filter drops blocks with too few tokens, the positional filter those whose remaining template tokens cannot make up
-the overlap. The templates are a fixed list, so what is broadcast has a fixed size. A block is a line of the text.
+A block is a run of words of the text, across line breaks, a quarter longer than the template it is held against; it bears the
+template's label when it holds at least ``threshold`` of the template's tokens. Tokens are ordered by the number of documents
+that hold them, counted over all documents first. A template is probed through its prefix (its rarest tokens, so many that a
+block without any of them cannot reach the threshold); the length filter drops texts that hold too few of its tokens at all,
+and the positional filter, over the places of the template's tokens alone, leaves those within a block's length of one
+another. The templates are a fixed list, so what is broadcast has a fixed size.
 
 Edge cases: null and empty texts have no words, places or labels (null first and last word, empty strings, score 0);
-repeated rows are reported each; very long lines are one block; an empty table gives no rows.
+repeated rows are reported each; very long texts are scanned whole; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ THRESHOLD = 0.8
 
 
 class Matcher:
-    """The templates, with tokens in rising order of their block frequency."""
+    """The templates, with tokens in rising order of their document frequency."""
 
     def __init__(self, frequency: dict[bytes, int], threshold: float):
         self.templates = []
@@ -58,23 +59,34 @@ class Matcher:
             for w in tokens[: len(tokens) - need + 1]:
                 self.probe.setdefault(w, []).append(i)
 
-    def block(self, words: set[bytes]) -> list[tuple[str, float]]:
+    def blocks(self, words: list[bytes], held: set[bytes]) -> list[tuple[str, float]]:
+        """(label, share) of each template that a block of the text holds enough of; the best share."""
         out = []
-        for i in {i for w in words & self.probe.keys() for i in self.probe[w]}:
+        for i in sorted({i for w in held & self.probe.keys() for i in self.probe[w]}):
             tokens, need, label = self.templates[i]
-            if len(words) < need:  # length filter
+            if len(held.intersection(tokens)) < need:  # length filter
                 continue
-            found = 0
-            for k, w in enumerate(tokens):
-                if found + min(len(tokens) - k, len(words) - found) < need:  # positional filter
-                    break
-                found += w in words
-            else:
-                if found >= need:
-                    out.append((label, found / len(tokens)))
+            code = {w: k for k, w in enumerate(tokens)}
+            places = [(at, code[w]) for at, w in enumerate(words) if w in code]
+            size, count, found, best, first = block_size(i), [0] * len(tokens), 0, 0, 0
+            for at, k in places:
+                found += not count[k]
+                count[k] += 1
+                while places[first][0] <= at - size:  # positional filter: too far before to share a block
+                    count[places[first][1]] -= 1
+                    found -= not count[places[first][1]]
+                    first += 1
+                best = max(best, found)
+            if best >= need:
+                out.append((label, best / len(tokens)))
         return out
 
 
+def block_size(template: int) -> int:
+    n = len(alnum_words(list(TEMPLATES)[template]))
+    return n + n // 4
+
+
 SEQUENCES = [(tuple(p.encode().split()), label) for p, label in PHRASES.items()]
 
 
@@ -111,10 +123,9 @@ def _scan(batches, matcher: Matcher):
             places, base = base_places(words, held)
             labels, score = set(base), 1.0 if base else 0.0
             if not probes.isdisjoint(held):
-                for line in text.split("\n"):
-                    for label, share in matcher.block(set(alnum_words(line))):
-                        labels.add(label)
-                        score = max(score, share)
+                for label, share in matcher.blocks(words, held):
+                    labels.add(label)
+                    score = max(score, share)
             out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score))
         if out:
             yield batch_of(SCAN, list(zip(*out)))
@@ -126,10 +137,7 @@ def _count(batches, vocabulary: frozenset):
     n: Counter = Counter()
     for b in batches:
         for text in b.column(1):
-            text = text.as_py() or ""
-            if not vocabulary.isdisjoint(alnum_words(text)):
-                for line in text.split("\n"):
-                    n.update(vocabulary.intersection(alnum_words(line)))
+            n.update(vocabulary.intersection(alnum_words(text.as_py())))
     if n:
         yield batch_of(pa.schema([("token", pa.binary()), ("n", pa.int64())]), [list(n), list(n.values())])
 
@@ -151,15 +159,17 @@ def oracle() -> str:
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     words = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     phrase = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in PHRASES.items())
-    template = " UNION ALL ".join(f"SELECT list_distinct({t.split()!r}) AS t, '{label}' AS label" for t, label in TEMPLATES.items())
+    template = " UNION ALL ".join(f"SELECT {i} AS i, list_distinct({t.split()!r}) AS t, '{label}' AS label, {block_size(i)} AS size" for i, (t, label) in enumerate(TEMPLATES.items()))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {lower} AS s FROM documents),
 w AS (SELECT r, doc_id, s, {words.format('s')} AS words FROM d),
 phrases AS ({phrase}), templates AS ({template}),
 hits AS (SELECT r, label, unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(p)] = p)) AS pos FROM w, phrases),
 base AS (SELECT r, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM hits GROUP BY r),
-lines AS (SELECT r, list_distinct({words.format('line')}) AS words FROM (SELECT r, unnest(string_split(s, chr(10))) AS line FROM d)),
-method AS (SELECT r, label, len(list_intersect(t, words)) / len(t) AS share FROM lines, templates WHERE len(list_intersect(t, words)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+able AS (SELECT r, i, t, label, size, words FROM w, templates WHERE len(list_intersect(t, words)) >= ceil({THRESHOLD} * len(t) - 1e-9)),
+held AS (SELECT r, i, t, label, size, words[pos + 1] AS word, pos FROM (SELECT *, unnest(list_filter(range(len(words)), lambda k: list_contains(t, words[k + 1]))) AS pos FROM able)),
+blocks AS (SELECT r, label, count(DISTINCT b.word) / len(t) AS share FROM held JOIN held b USING (r, i, t, label, size) WHERE b.pos >= held.pos AND b.pos < held.pos + size GROUP BY r, i, t, label, held.pos),
+method AS (SELECT r, label, share FROM blocks WHERE share >= {THRESHOLD} - 1e-9),
 labels AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION ALL SELECT r, label FROM method) GROUP BY r),
 basel AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits GROUP BY r),
 best AS (SELECT r, max(share) AS share FROM method GROUP BY r)
