@@ -23,19 +23,20 @@ from pyspark.sql import DataFrame
 
 from .common import batch_of, ship
 
-#: Elements whose text is never content; those that a page has outside its article; elements that hold others.
+#: Elements whose text is never content; headings; elements that hold others; and so on.
 NEVER = frozenset("script style head noscript template svg math canvas iframe object select button form nav aside dialog menu textarea".split())
-OUTSIDE = frozenset("header footer".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOLDERS = frozenset("article main section div td body".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Whole class, id or role names of what is not content; of them, those that mark it outside articles only.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|banner|pop-?up|modal"
-    r"|newsletter|subscribe|share|sharing|social|comments?|commentlist|reply|replies|disqus|respond|related|recommend\w*|widget|masthead|toolbar|pager|pagination|skip)(?:$|[\s_-])",
-    re.I,
+    r"(?:js-|is-|c-|m-|site-|page-|post-|article-|entry-|main-|top-|bottom-|left-|right-|global-|the-)*"
+    r"(?:ads?|ad[-_](?:\w+)|advert\w*|sponsor\w*|promo\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|gdpr|notices?|banner|pop-?up|modal"
+    r"|newsletter|subscribe|share|sharing|social|comments?|commentlist|reply|replies|disqus|respond|related|recommend\w*|widget|masthead|toolbar|pager|pagination|skip)"
+    r"(?:[-_](?:bar|box|section|area|wrap|wrapper|container|list|block|inner|links?|menu|form|thread|posts?|articles?|content|primary|secondary|main|banner|notice|modal|popup|overlay|message|top|bottom|left|right|items?|widget|unit|slot|label|\d+))*",
 )
-MARKED_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|footer|topbar)(?:$|[\s_-])", re.I)
+MARKED_OUTSIDE = re.compile(r"(?:site|page|global|main|top)?[-_]?(?:header|footer|topbar)(?:[-_]\w+)*")
 PIECE = 1 << 16
 SIGMA = 1.0
 
@@ -48,6 +49,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool]] = []
         self.holders: list[tuple[int, str]] = [(-1, "")]
         self.stack: list[tuple[str, bool, int]] = []  # tag, whether it hides its text, holder
+        self.open: dict[str, int] = {}  # how often each tag stands in the stack
         self.hidden = 0
         self.inside = 0  # articles or mains around
         self.holder = 0
@@ -79,12 +81,13 @@ class Lines(HTMLParser):
         if (tag == "article" or tag == "main") and self.hidden:
             while self.stack and self.stack[-1][0] in ("nav", "header", "footer", "aside", "ul", "ol", "div") and self.stack[-1][1]:
                 self.pop()  # an unclosed menu does not swallow the article
-        hide = tag in NEVER or tag in OUTSIDE and not self.inside
-        if not hide and attrs and tag not in ("body", "html", "main"):
-            names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-            hide = bool(names) and bool(MARKED.search(names) or not self.inside and MARKED_OUTSIDE.search(names))
+        hide = tag in NEVER or tag == "footer" or tag == "header" and not self.inside
+        if not hide and attrs and tag not in ("body", "html", "main", "article"):
+            names = [x.lower() for k, v in attrs if v and k in ("class", "id", "role") for x in v.split()]
+            hide = any(MARKED.fullmatch(x) or MARKED_OUTSIDE.fullmatch(x) and not self.inside for x in names)
         if hide or tag in HOLDERS or self.stack:
             self.stack.append((tag, hide, self.holder))
+            self.open[tag] = self.open.get(tag, 0) + 1
             self.hidden += hide
             if tag in HOLDERS:
                 self.inside += tag in ("article", "main")
@@ -93,6 +96,7 @@ class Lines(HTMLParser):
 
     def pop(self):
         tag, hide, self.holder = self.stack.pop()
+        self.open[tag] -= 1
         self.hidden -= hide
         self.inside -= tag in ("article", "main")
 
@@ -101,7 +105,7 @@ class Lines(HTMLParser):
             return
         self.flush()
         self.heading = False
-        if any(s[0] == tag for s in reversed(self.stack)):
+        if self.open.get(tag):
             while self.stack:
                 top = self.stack[-1][0]
                 self.pop()
@@ -156,28 +160,39 @@ def main_text(html: str | None) -> str:
     lines, holders = p.lines, p.holders
     if not lines:
         return ""
-    paths = []  # of each holder: itself and those around it
-    for i, (up, _) in enumerate(holders):
-        paths.append({i} if up < 0 else paths[up] | {i})
+    # holders come after those around them: sums go up by one pass from the last, marks down by one from the first
+    ups = [up for up, _ in holders]
     rich, own = dense([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    mass = [0] * len(holders)
-    for (t, _, h, _), d in zip(lines, rich):
-        if d:
-            for i in paths[h]:
-                mass[i] += len(t)
+    mass, cores = [0] * len(holders), [0] * len(holders)
+    for (t, _, h, _), d, o in zip(lines, rich, own):
+        mass[h] += len(t) * d
+        cores[h] += o
+    for i in range(len(holders) - 1, 0, -1):
+        mass[ups[i]] += mass[i]
+        cores[ups[i]] += cores[i]
+
+    def within(roots: set[int]) -> list[bool]:
+        out = []
+        for i, up in enumerate(ups):
+            out.append(i in roots or up >= 0 and out[up])
+        return out
+
     for kind in ("article", "main"):
         roots = {i for i, (_, tag) in enumerate(holders) if tag == kind and mass[i]}
         if roots:
-            return "\n".join(t for t, _, h, _ in lines if paths[h] & roots)
-    around = set.intersection(*[paths[h] for (_, _, h, _), d in zip(lines, own) if d])
-    root = max(around, key=lambda i: len(paths[i]))
-    first = next(i for i, (_, _, h, _) in enumerate(lines) if root in paths[h])
+            into = within(roots)
+            return "\n".join(t for t, _, h, _ in lines if into[h])
+    root = max(i for i, n in enumerate(cores) if n == cores[0])  # holders that have all dense lines lie in one another
+    into, above, i = within({root}), {root}, root
+    while i:
+        i = ups[i]
+        above.add(i)
+    first = next(i for i, (_, _, h, _) in enumerate(lines) if into[h])
     near = first
     while near and lines[near - 1][3]:
         near -= 1
     return "\n".join(
-        t for i, (t, _, h, heading) in enumerate(lines)
-        if root in paths[h] or near <= i < first or h in paths[root] and (rich[i] or heading and i < first)
+        t for i, (t, _, h, heading) in enumerate(lines) if into[h] or near <= i < first or h in above and (rich[i] or heading and i < first)
     )
 
 
