@@ -49,6 +49,9 @@ def ship(spark: SparkSession) -> None:
                         z.write(os.path.join(d, n), os.path.join("tenderlens", os.path.relpath(os.path.join(d, n), top)))
         sc.addPyFile(path)
     sc._tenderlens_shipped = True
+    # batches to Python workers are bounded by bytes too: texts may be very long
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def scratch_root(spark: SparkSession) -> str:
