@@ -202,7 +202,7 @@ def test_sharding_is_even_and_gapless(spark):
 
 def test_toxicity_learns(spark):
     from tenderlens.llm.common import alnum_words
-    from tenderlens.llm.toxicity import Scorer, calibrate, keep_clean, train
+    from tenderlens.llm.toxicity import Features, Scorer, keep_clean, shift_of, train
 
     rnd = random.Random(1)
     names = ["".join(rnd.choice("aeioubcd") for _ in range(5)) for _ in range(200)]
@@ -216,8 +216,12 @@ def test_toxicity_learns(spark):
         return " ".join(w), y
 
     rows = [make(i % 2) for i in range(700)]
-    net = train([(alnum_words(t), y) for t, y in rows[:400]])
-    net.shift = calibrate(net, [(alnum_words(t), y) for t, y in rows[400:550]])
+    words = sorted({w for t, _ in rows[:400] for w in alnum_words(t)})
+    index = {w: i for i, w in enumerate(words, 1)}
+    places = [np.array([index[w] for w in alnum_words(t)], np.int32) for t, _ in rows[:400]]
+    net = train(places, np.array([y for _, y in rows[:400]]), Features([b" ", *words]), 8, decay=0.7)
+    best = Scorer(net).scores([alnum_words(t) for t, _ in rows[400:550]])
+    net.shift = shift_of(best, np.array([y for _, y in rows[400:550]]))
     score = Scorer(net).scores([alnum_words(t) for t, _ in rows[550:]]) + net.shift
     assert np.mean((score >= np.log(0.3 / 0.7)) == np.array([y for _, y in rows[550:]], bool)) > 0.9
     kept = keep_clean(docs(spark, ODD), net)
@@ -388,8 +392,162 @@ def test_banded_distance(spark):
         assert min(r.d, 3) == min(edits(r.a, r.b), 3)
 
 
+def test_gru_forward_and_gradient():
+    """The net's logits against a word-by-word loop, and its gradients against differences."""
+    from tenderlens.llm.toxicity import HIDDEN, Features, Net
+
+    f = Features([b" ", b"one", b"two", b"three", b"fourth"])
+    net = Net(5)
+    rng = np.random.default_rng(0)
+    net.p = {k: (v.astype(np.float64) if v.size > 5000 else rng.standard_normal(v.shape) * 0.4) for k, v in net.p.items()}
+    at, y = rng.integers(0, 5, (6, 3)), np.array([1.0, 0.0, 1.0])
+
+    def logits():
+        x, p, out = net.inputs(f).astype(float), net.p, []
+        sig = lambda v: 1 / (1 + np.exp(-v))
+        for j in range(3):
+            states = []
+            for w, u, b, order in (("wf", "uf", "bf", range(6)), ("wb", "ub", "bb", range(5, -1, -1))):
+                h, hs = np.zeros(HIDDEN), [None] * 6
+                for i in order:
+                    g = x[at[i, j]] @ p[w] + p[b]
+                    zr = sig(g[: 2 * HIDDEN] + h @ p[u][:, : 2 * HIDDEN])
+                    z, r = zr[:HIDDEN], zr[HIDDEN:]
+                    h = (1 - z) * h + z * np.tanh(g[2 * HIDDEN :] + (r * h) @ p[u][:, 2 * HIDDEN :])
+                    hs[i] = h
+                states.append(np.array(hs))
+            hidden = np.concatenate(states, 1)
+            a = np.exp(hidden @ p["att"])
+            out.append((a / a.sum()) @ (hidden @ p["out"]) + p["bias"][0])
+        return np.array(out)
+
+    loss = lambda: np.mean(np.log1p(np.exp(logits())) - y * logits())
+    x = net.inputs(f)
+    assert net.run((x @ net.p["wf"] + net.p["bf"])[at], (x @ net.p["wb"] + net.p["bb"])[at]) == pytest.approx(logits(), abs=1e-5)
+    before = {k: v.copy() for k, v in net.p.items()}
+    adam = {"t": 0}
+    net.learn(f, at, y, adam, 0.0)
+    for k in ("wf", "uf", "bf", "wb", "ub", "bb", "att", "out", "bias", "word", "char"):
+        grad = adam[k][0] / 0.1  # the first step's mean is a tenth of the gradient
+        i = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        net.p[k] = before[k].copy()
+        net.p[k][i] += 1e-4
+        up = loss()
+        net.p[k][i] -= 2e-4
+        assert (up - loss()) / 2e-4 == pytest.approx(grad[i], rel=1e-2, abs=1e-6), k
+        net.p[k] = before[k]
+
+
+def test_word_encoder_equals_the_tokenizer_in_any_order():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tenderlens.llm.packing import WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    full, rnd = Tokenizer.from_file(path), random.Random(6)
+    bits = [")", ".", ",", "!", "-", "--", '"', "'s", "'", "word", "Word", "é", "e\u0301", "İ", "ŉ", "1", "23", "\u4e2d", "😀", "\x00", "\x1f", "\u00a0", "\u200d", "ß", "ſ", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\t", "\n", " ", " ", " "]
+    texts = [")", "--", "....", ").", "--,", "!.", "word.", "word,,", *("".join(rnd.choice(bits) for _ in range(rnd.randint(1, 12))) for _ in range(1500))]
+    encoder = WordEncoder(path)
+    for order in (texts, texts[::-1]):
+        for t in order:
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == full.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_items_without_an_id_hit_but_are_not_named():
+    from tenderlens.llm.decontam import Phrases, search_shard
+
+    phrases = Phrases([(None, "a b c"), (2, "b c d"), (2, "b c d"), (10, "a b c")], 3)
+    (row,) = search_shard([(1, b"x a b c d".split())], phrases)
+    assert row == (1, 5, ["10", "2"], [1], [5])
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 20])
+def test_vectors_against_all_pairs(spark, dim):
+    from tenderlens.llm.caps import near_vectors
+
+    rng = np.random.default_rng(dim)
+    centres = rng.standard_normal((60, dim))
+    x = centres[rng.integers(0, 60, 400)] + rng.standard_normal((400, dim)) * 0.08
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, x[0].tolist()), (401, None), (402, [0.0] * dim), (403, [float("nan")] * dim), (404, [])]
+    unit = np.vstack([x, x[:1]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    label = np.arange(401)
+    while True:
+        new = np.minimum(label, np.where(hit, label[None, :], 401).min(1))
+        if (new == label).all():
+            break
+        label = new
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rep string")).collect()}
+    links = np.array([got[i].n_links for i in range(401)])
+    if dim < 16:
+        assert (links == hit.sum(1)).all() and all(got[i].component_id == label[i] and got[i].kept == (label[i] == i) for i in range(401))
+    else:
+        assert (links <= hit.sum(1)).all() and links.sum() >= 0.9 * hit.sum()
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(401, 405))
+
+
+def test_equal_texts_share_a_shard(spark):
+    from tenderlens.llm.sharding import kd_shards
+
+    rnd = random.Random(4)
+    rows = [(i, f"text number {i % 400} " * rnd.choice([3]), rnd.choice(["en", "de", None]), f"s{rnd.randint(0, 9)}", 0) for i in range(1200)]
+    where = {}
+    for r in kd_shards(spark.createDataFrame(rows, DOCS), 6, 0.05).collect():
+        where.setdefault(rows[r.doc_id][1], set()).add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+
+
+def test_license_notice_over_lines_and_far_words(spark):
+    from tenderlens.llm.license_scan import scan
+
+    notice = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided"
+    far = "released " + "x " * 30 + "under " + "y " * 30 + "the mit " + "z " * 30 + "license"
+    got = {r.doc_id: r for r in scan(docs(spark, [(1, "intro\n" + notice), (2, far), (3, "released under the\n mit thing")])).collect()}
+    assert got[1].labels == "bsd" and got[1].score == 1.0 and got[2].labels == "" and got[2].score == 0 and (got[3].labels, got[3].score) == ("mit", 0.8)
+
+
+def test_page_parts(spark):
+    import time
+
+    from tenderlens.llm.html_extract import extract, main_text
+
+    body = "The first paragraph of the article has a good many words in it. " * 3
+    page = f'<body><nav>Home</nav><article class="post related share"><h1>Title</h1><p>{body}</p><section id="comments-on-law"><p>{body}</p></section><section class="comments"><p>Nice!</p></section><footer>Posted by X</footer></article><div class="sidebar">Links</div></body>'
+    one = " ".join(body.split())
+    assert main_text(page) == f"Title\n{one}\n{one}"
+    assert main_text(f"<div><h1>T</h1><p>Lead {body}</p><div><p>{body}</p><p>{body}</p></div></div><p>x</p>").startswith("T\nLead")
+    start = time.time()
+    assert main_text("<div>" * 20000 + "deep text</i></span></div>" * 20000).startswith("deep text")
+    assert time.time() - start < 20
+    table = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", page), (3, "u", page), (4, "u", "<<<>&amp")], "page_id long, url string, html string")
+    assert sorted((r.page_id, len(r.text)) for r in extract(table.withColumn("text", F.lit(1))).collect())[:2] == [(1, 0), (2, 0)]
+
+
+def test_extra_columns_with_clashing_names(spark):
+    from tenderlens.llm import decontam, jaccard, katz, license_scan, packing, sharding, toxicity
+
+    import public_tokenizers
+
+    rows = docs(spark, ODD)
+    clash = rows.withColumns({c: F.lit("z") for c in ("n", "h", "a", "b", "block", "bucket", "row", "size", "own", "tie", "score", "spans", "items", "region", "component_id", "labels", "length", "rank")})
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string").withColumn("n", F.lit(1))
+    net = toxicity.train([], np.zeros(0, int), None)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    runs = {
+        "op1": lambda d: decontam.contamination(d, bench), "op2": jaccard.near_documents, "op3": license_scan.scan, "op4": katz.katz_scores, "op5": lambda d: sharding.kd_shards(d, 3).drop("slot", "shard"),
+        "op6": lambda d: toxicity.toxicity(d, net), "op7": lambda d: packing.pack(d, path).drop("sequence_id", "offset"),
+    }
+    for name, run in runs.items():
+        assert sorted(map(str, run(clash).collect())) == sorted(map(str, run(rows).collect())), name
+
+
 def test_empty_tables(spark):
-    from tenderlens.llm import decontam, jaccard, katz, license_scan, line_dedup, sharding
+    import public_tokenizers
+
+    from tenderlens.llm import caps, decontam, html_extract, jaccard, katz, license_scan, line_dedup, packing, sharding, toxicity
 
     none = spark.createDataFrame([], DOCS)
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -399,3 +557,7 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(none).count() == 0
     assert sharding.kd_shards(none).count() == 0
     assert katz.katz_scores(none).count() == 0
+    assert toxicity.toxicity(none, toxicity.fit(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).count() == 0
+    assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert caps.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
