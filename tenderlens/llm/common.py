@@ -4,6 +4,7 @@ byte-level word splitting, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,30 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept for a task (boundedly)."""
+
+    def __missing__(self, w):
+        if len(self) > 150_000:
+            self.clear()
+        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+def tidy(batches, *caches: dict):
+    """The batches, and as the task ends the worker's memory goes back: workers live on and run other operators."""
+    try:
+        yield from batches
+    finally:
+        for c in caches:
+            c.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

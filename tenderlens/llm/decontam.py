@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, batch_of, ship
+from .common import Scratch, alnum_words, batch_of, ship, tidy
 
-WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 20, 500_000, 8
+WINDOW, SHARD_WORDS, BLOCK_WORDS, SAMPLE = 13, 1 << 19, 500_000, 8
 
 
 class WaveletMatrix:
@@ -256,7 +256,7 @@ benchmark of several blocks takes a pass for each and a shuffle of their hits.""
     runs = []
     for block in chain(head or [[]], blocks):
         shared = spark.sparkContext.broadcast(Phrases(block, window))
-        runs.append(rows.mapInArrow(lambda it, s=shared: _search(it, s.value, types), out_schema))
+        runs.append(rows.mapInArrow(lambda it, s=shared: tidy(_search(it, s.value, types)), out_schema))
     out = runs[0]
     if len(runs) > 1:
         tagged = None

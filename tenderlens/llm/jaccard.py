@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, components, forest, packed, packed_up, partitions_for, ship, space_words, unpacked, unpacked_up
+from .common import Scratch, WordHashes, batch_of, components, forest, packed, packed_up, partitions_for, ship, space_words, tidy, unpacked, unpacked_up
 
 WORDS, BLOCK, LEAF = 5, 512, 96
 #: A shingle is put last in the order from so many documents on; at most so many, the most frequent, are sent to executors.
@@ -46,15 +46,7 @@ FINGERPRINT, CHUNK = 44, 8_000_000
 CELLS = (32, 1 << 16)
 
 
-class _Hashes(dict):
-    def __missing__(self, w):
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordHashes()
 _MIX = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -319,7 +311,7 @@ def _spanning(items: DataFrame, members: DataFrame, percent: int, scratch: Scrat
     def compare(routes: DataFrame) -> DataFrame:
         rows = items.join(routes, "doc_id").select("region", "block", "doc_id", "n", "data")
         rows = rows.repartition("region", "block").sortWithinPartitions("region", "block")
-        return scratch.save(rows.mapInArrow(lambda it: _regions(it, percent), "a long, b long"))
+        return scratch.save(rows.mapInArrow(lambda it: tidy(_regions(it, percent)), "a long, b long"))
 
     sizes = members.groupBy("region").agg(F.count("*").alias("k")).where("k > 1")
     placed = members.join(sizes, "region").withColumn("blocks", F.ceil(F.col("k") / BLOCK))
@@ -356,10 +348,10 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     parts = 4 * partitions_for(spark)
-    counted = docs.select("text").mapInArrow(lambda it: _counts(it, parts), "part int, prints binary, counts binary")
+    counted = docs.select("text").mapInArrow(lambda it: tidy(_counts(it, parts), _hashes), "part int, prints binary, counts binary")
     often = counted.groupBy("part").applyInArrow(_often, "f long, n long").orderBy(F.desc("n"), "f").limit(MOST).select("f").toPandas()
     frequent = spark.sparkContext.broadcast(np.sort(often["f"].to_numpy(np.int64)))
-    rows = scratch.save(docs.mapInArrow(lambda it: _sketch(it, frequent.value, percent), "doc_id long, n long, d1 long, d2 long, prefix array<long>, sketch binary"))
+    rows = scratch.save(docs.mapInArrow(lambda it: tidy(_sketch(it, frequent.value, percent), _hashes), "doc_id long, n long, d1 long, d2 long, prefix array<long>, sketch binary"))
     # of equal sets the one of least id goes on; tasks have already left one each
     one = rows.where("sketch is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix", "sketch")).alias("x"))
     reps = scratch.save(one.select("x.*", "d1", "d2"))
@@ -368,12 +360,12 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     counts = scratch.save(rows.select("doc_id", "n"))
     scratch.drop(rows)
     held = reps.select(F.explode("prefix").alias("h"), "n", "doc_id").repartition("h").sortWithinPartitions("h", "n", "doc_id")
-    attached = held.mapInArrow(lambda it: _attach(it, percent), "pivot long, doc_id long")
+    attached = held.mapInArrow(lambda it: tidy(_attach(it, percent)), "pivot long, doc_id long")
     attached = scratch.save(attached.distinct().withColumnRenamed("pivot", "region"))
     near = _spanning(reps.select("doc_id", "n", F.col("sketch").alias("data")), attached, percent, scratch)
     clusters = scratch.save(components(near, scratch).select(F.col("component_id").alias("region"), F.col("id").alias("doc_id")))
     scratch.drop(reps, attached)
-    sets = docs.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, n long, data binary")
+    sets = docs.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(lambda it: tidy(_sets(it), _hashes), "doc_id long, n long, data binary")
     links_ = _spanning(sets, clusters, percent, scratch)
     comp = components(links_.union(equal), scratch)
     return counts.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(

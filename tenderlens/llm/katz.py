@@ -29,11 +29,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, packed, packed_up, ship, space_words, unpacked, unpacked_up
+from .common import Scratch, WordHashes, batch_of, packed, packed_up, ship, space_words, tidy, unpacked, unpacked_up
 
 BLOCK_TOKENS, BUCKET_TOKENS, K = 700_000, 3_000_000, 5
 END = np.uint64(0xE0D)  # not a word: the end that is counted
@@ -53,15 +52,7 @@ def sent_table(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([sent(rows)]) if rows else SENT.empty_table()
 
 
-class _Hashes(dict):
-    def __missing__(self, w):
-        if len(self) > 400_000:
-            self.clear()
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
-        return h
-
-
-_hashes = _Hashes()
+_hashes = WordHashes()
 
 
 def _encode(batches, part: int):
@@ -317,7 +308,7 @@ def katz_scores(docs: DataFrame, held_out_part: int = 10) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    blocks = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda it: _encode(it, held_out_part), "block long, docs binary, vocab binary, tokens binary"), "uncompressed")
+    blocks = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_encode(it, held_out_part), _hashes), "block long, docs binary, vocab binary, tokens binary"), "uncompressed")
     tokens = max(1, blocks.count()) * BLOCK_TOKENS
     buckets, few = max(1, math.ceil(tokens / BUCKET_TOKENS)), max(1, math.ceil(tokens / BUCKET_TOKENS / 8))
     words = scratch.save(blocks.mapInArrow(lambda it: _ask_words(it, few), SENT_SQL).groupBy("bucket").applyInArrow(_own_words, SENT_SQL), "uncompressed")

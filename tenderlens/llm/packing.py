@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, ship
+from .common import Scratch, batch_of, ship, tidy
 
 CAPACITY = 2048
-CACHE = 500_000  # words kept by a worker; more are encoded anew
+CACHE = 150_000  # words kept by a worker; more are encoded anew
 
 
 class WordEncoder:
@@ -203,7 +203,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"))
+    pieces = scratch.save(docs.select("doc_id", "text").mapInArrow(lambda it: tidy(_pieces(it, tokenizer, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"))
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 

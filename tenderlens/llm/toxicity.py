@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, alnum_words, batch_of, ship
+from .common import Scratch, alnum_words, batch_of, ship, tidy
 
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 15
@@ -36,14 +36,14 @@ class Features:
     at ``starts``) and ``pref`` rows of their first three to six characters. Words carry a mark at both ends."""
 
     def __init__(self, words: list[bytes]):
-        self.word = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in words), np.int64, len(words))
+        self.word = np.fromiter((zlib.crc32(w) % WORD_ROWS for w in words), np.int32, len(words))
         flat = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words)) + 2
         first = np.cumsum(size) - size
         tri = flat[:-2] * np.uint32(0x9E3779B1) ^ (flat[1:-1] * np.uint32(0x85EBCA77)) ^ (flat[2:] * np.uint32(0xC2B2AE3D))
         inside = np.ones(len(flat), bool)
         inside[first + size - 1] = inside[first + size - 2] = False
-        self.tri = ((tri ^ (tri >> np.uint32(15))) % np.uint32(CHAR_ROWS)).astype(np.int64)[inside[:-2]]
+        self.tri = ((tri ^ (tri >> np.uint32(15))) % np.uint32(CHAR_ROWS)).astype(np.int32)[inside[:-2]]
         self.count = size - 2
         self.starts = np.cumsum(self.count) - self.count
         h, pref = np.zeros(len(words), np.uint32), []
@@ -51,7 +51,7 @@ class Features:
             h = np.where(k < size, h * np.uint32(16777619) ^ flat[np.minimum(first + k, len(flat) - 1)], h)
             if k > 2:
                 pref.append((h ^ (h >> np.uint32(13))) % np.uint32(CHAR_ROWS))
-        self.pref = np.stack(pref, 1).astype(np.int64)
+        self.pref = np.stack(pref, 1).astype(np.int32)
 
     def take(self, i: np.ndarray) -> "Features":
         out = object.__new__(Features)
@@ -81,9 +81,14 @@ class Net:
 
     def inputs(self, f: Features) -> np.ndarray:
         """Inputs of words: own vector beside the scaled sum of their character vectors."""
-        char = self.p["char"]
-        total = np.add.reduceat(char[f.tri], f.starts, 0) + char[f.pref].sum(1)
-        return np.concatenate([self.p["word"][f.word], total / np.sqrt(f.count + 4).astype(np.float32)[:, None]], 1)
+        char, out = self.p["char"], np.empty((len(f.word), WORD_DIM + CHAR_DIM), self.p["char"].dtype)
+        out[:, :WORD_DIM] = self.p["word"][f.word]
+        for a in range(0, len(out), 8192):
+            b = min(a + 8192, len(out))
+            flat = f.tri[f.starts[a] : f.starts[b] if b < len(out) else None]
+            total = np.add.reduceat(char[flat], f.starts[a:b] - f.starts[a], 0) + char[f.pref[a:b]].sum(1)
+            out[a:b, WORD_DIM:] = total / np.sqrt(f.count[a:b] + 4).astype(np.float32)[:, None]
+        return out
 
     @staticmethod
     def sigmoid(x):
@@ -208,8 +213,10 @@ def train(docs: list[np.ndarray], labels: np.ndarray, f: Features | None, epochs
 def window_scores(net: Net, f: Features, windows, doc: np.ndarray, n: int):
     x = net.inputs(f)
     xf, xb = x @ net.p["wf"] + net.p["bf"], x @ net.p["wb"] + net.p["bb"]
-    parts = [windows(np.arange(i, min(i + 2048, len(doc)))) for i in range(0, len(doc), 2048)]
-    score = np.concatenate([net.run(xf[at], xb[at]) for at in parts])
+    score = np.empty(len(doc), np.float32)
+    for i in range(0, len(doc), 1024):
+        at = windows(np.arange(i, min(i + 1024, len(doc))))
+        score[i : i + 1024] = net.run(xf[at], xb[at])
     best = np.full(n, -np.inf)
     np.maximum.at(best, doc, score)
     return score, best
@@ -231,7 +238,7 @@ def shift_of(best: np.ndarray, y: np.ndarray) -> float:
 class Scorer:
     """Scores texts with a trained net; a worker keeps the projected inputs of the words it has met (bounded)."""
 
-    LIMIT = 250_000
+    LIMIT = 100_000
 
     def __init__(self, net: Net):
         self.net = net
@@ -271,10 +278,10 @@ class Scorer:
         ends = np.repeat([len(x) for x in ids], count) + np.repeat(base, count)
         first = np.concatenate([np.array(s) + b for s, b in zip(starts, base)])
         out = np.empty(len(first), np.float32)
-        for i in range(0, len(first), 4096):
-            at = first[None, i : i + 4096] + np.arange(WINDOW)[:, None]
-            at = np.where(at < ends[None, i : i + 4096], flat[np.minimum(at, len(flat) - 1)], 0)
-            out[i : i + 4096] = self.net.run(self.xf[at], self.xb[at])
+        for i in range(0, len(first), 1024):
+            at = first[None, i : i + 1024] + np.arange(WINDOW)[:, None]
+            at = np.where(at < ends[None, i : i + 1024], flat[np.minimum(at, len(flat) - 1)], 0)
+            out[i : i + 1024] = self.net.run(self.xf[at], self.xb[at])
         return np.maximum.reduceat(out, np.r_[0, np.cumsum(count)[:-1]])
 
 
@@ -350,14 +357,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (5000, 250
     held = F.broadcast(spark.createDataFrame([(r,) for r, _ in order[::4]], "row long"))
     index: dict[bytes, int] = {}
     texts = {}
-    for r in rows.select("row", "text").join(held, "row", "left_anti").mapInArrow(_places, "row long, words binary, places binary").toLocalIterator():
+    for r in rows.select("row", "text").join(held, "row", "left_anti").mapInArrow(lambda it: tidy(_places(it)), "row long, words binary, places binary").toLocalIterator():
         own = np.array([index.setdefault(w, len(index) + 1) for w in bytes(r["words"]).split()], np.int32)
         texts[r["row"]] = unstutter(own[np.frombuffer(r["places"], np.int32)])
     learn = [(r, y) for r, y in order if r in texts]
     net = train([texts[r] for r, _ in learn], np.array([y for _, y in learn], int), Features([b" ", *index]))
-    del texts, index
+    del texts, index, learn
+    for _ in tidy(()):  # the driver's memory goes back, too
+        pass
     shared = spark.sparkContext.broadcast(net)
-    logits = rows.select("row", "text").join(held, "row", "left_semi").mapInArrow(lambda it: _logits(it, shared.value), "row long, logit double")
+    logits = rows.select("row", "text").join(held, "row", "left_semi").mapInArrow(lambda it: tidy(_logits(it, shared.value)), "row long, logit double")
     logit = {r["row"]: r["logit"] for r in logits.collect()}
     net.shift = shift_of(np.array([logit[r] for r, _ in order[::4]]), np.array([y for _, y in order[::4]]))
     return net
@@ -367,7 +376,7 @@ def toxicity(docs: DataFrame, net: Net) -> DataFrame:
     """(doc_id, score 0..1) of every row of ``docs(doc_id, text)``; no shuffle."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: scored(it, shared.value), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lambda it: tidy(scored(it, shared.value)), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, net: Net, cut: float = 0.5) -> DataFrame:
@@ -385,4 +394,4 @@ def keep_clean(docs: DataFrame, net: Net, cut: float = 0.5) -> DataFrame:
                 x = scorer.scores([alnum_words(t.as_py()) for t in part.column(at)])
                 yield part.filter(pa.array(x < limit))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lambda it: tidy(work(it)), docs.schema)
