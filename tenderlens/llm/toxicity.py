@@ -1,6 +1,6 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-The network is written and trained in numpy on the driver, on a bounded sample of labelled documents (``sample`` of each
+The network is written and trained in numpy, in one task, on a bounded sample of labelled documents (``sample`` of each
 label, those with the least hash of their id; the only bound), whole texts. A word's input is a learned vector of its hashed form beside the mean of
 learned vectors of its hashed character n-grams. Every document is read in overlapping windows that cover all its words;
 its score is the highest of its windows' scores, so no part of a long text goes unread.
@@ -11,6 +11,7 @@ labels that are null are not learnt from; without labelled rows of both kinds ev
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -213,7 +214,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, f: Features | None, epochs
 def window_scores(net: Net, f: Features, windows, doc: np.ndarray, n: int):
     x = net.inputs(f)
     xf, xb = x @ net.p["wf"] + net.p["bf"], x @ net.p["wb"] + net.p["bb"]
-    score = np.empty(len(doc), np.float32)
+    score = np.empty(len(doc))
     for i in range(0, len(doc), 1024):
         at = windows(np.arange(i, min(i + 1024, len(doc))))
         score[i : i + 1024] = net.run(xf[at], xb[at])
@@ -300,7 +301,7 @@ def scored(batches, net: Net):
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> DataFrame | None:
-    """(row, text, toxic, h) of at most ``sample[y]`` labelled documents of each label y, those of least id hash h; written
+    """(text, toxic, h) of at most ``sample[y]`` labelled documents of each label y, those of least id hash h; written
     to scratch, whole. None if there are none."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = None
@@ -313,63 +314,47 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: tuple[int, int]) -> Da
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in few], "doc_id long, toxic int, h long")
     texts = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")
-    return Scratch(spark).save(texts.select(F.monotonically_increasing_id().alias("row"), "text", "toxic", "h"))
+    return Scratch(spark).save(texts.select("text", "toxic", "h"))
 
 
-PLACES = pa.schema([("row", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
+MODEL = pa.schema([("model", pa.binary())])
 
 
-def _places(batches):
-    """A text as its distinct words and its words' places among them."""
-    for b in batches:
-        for a in range(0, b.num_rows, 256):
-            part, out = b.slice(a, 256), []
-            for t in part.column(1):
-                words = alnum_words(t.as_py())
-                index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-                out.append((b" ".join(index), np.fromiter(map(index.__getitem__, words), np.int32, len(words)).tobytes()))
-            yield batch_of(PLACES, [part.column(0), *zip(*out)])
-
-
-def _logits(batches, net: Net):
-    scorer = Scorer(net)
+def _learn(batches):
+    """The sample's (text, toxic, h, digest) as one pickled net: three quarters are learnt, the last quarter calibrates."""
+    index: dict[bytes, int] = {}
+    rows = []
     for b in batches:
-        for a in range(0, b.num_rows, 256):
-            part = b.slice(a, 256)
-            best = scorer.scores([alnum_words(t.as_py()) for t in part.column(1)])
-            yield batch_of(LOGITS, [part.column(0), best.astype(np.float64)])
-
-
-LOGITS = pa.schema([("row", pa.int64()), ("logit", pa.float64())])
+        for text, y, h, digest in zip(b.column(0), *(b.column(i).to_pylist() for i in (1, 2, 3))):
+            words = alnum_words(text.as_py())
+            own = np.fromiter((index.setdefault(w, len(index) + 1) for w in words), np.int32, len(words))
+            rows.append((h, digest, y, unstutter(own)))
+    rows.sort(key=lambda r: r[:2])
+    f = Features([b" ", *index])
+    del index
+    learn, held = [r for k, r in enumerate(rows) if k % 4], rows[::4]
+    net = train([r[3] for r in learn], np.array([r[2] for r in learn], int), f)
+    starts = [windows_of(len(r[3])) for r in held]
+    doc = np.repeat(np.arange(len(held)), [len(x) for x in starts])
+    texts = [np.append(r[3], np.zeros(WINDOW, np.int32)) for r in held]
+    flat = [(t, k) for t, x in zip(texts, starts) for k in x]
+    _, best = window_scores(net, f, lambda i: np.stack([flat[k][0][flat[k][1] : flat[k][1] + WINDOW] for k in i], 1), doc, len(held))
+    net.shift = shift_of(best, np.array([r[2] for r in held]))
+    yield batch_of(MODEL, [[pickle.dumps(net)]])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (5000, 2500)) -> Net:
-    """A net learnt from three quarters of the sample and calibrated on the last quarter, whole texts in both. The driver
-    gets the learning texts as words and places, one partition after another; the others are scored on the executors."""
+    """A net learnt from three quarters of the sample and calibrated on the last quarter, whole texts in both. One task on an
+    executor reads the sample, whose rows ``sample`` bounds, and learns; the driver gets the net."""
     rows = sample_of(docs, labels, sample)
     if rows is None:
         net = train([], np.zeros(0, int), None)
         net.shift = 0.0
         return net
-    spark = docs.sparkSession
-    ship(spark)
-    order = [(r["row"], r["toxic"]) for r in sorted(rows.select("row", "toxic", "h", F.xxhash64("text").alias("digest")).collect(), key=lambda r: (r["h"], r["digest"]))]
-    held = F.broadcast(spark.createDataFrame([(r,) for r, _ in order[::4]], "row long"))
-    index: dict[bytes, int] = {}
-    texts = {}
-    for r in rows.select("row", "text").join(held, "row", "left_anti").mapInArrow(lambda it: tidy(_places(it)), "row long, words binary, places binary").toLocalIterator():
-        own = np.array([index.setdefault(w, len(index) + 1) for w in bytes(r["words"]).split()], np.int32)
-        texts[r["row"]] = unstutter(own[np.frombuffer(r["places"], np.int32)])
-    learn = [(r, y) for r, y in order if r in texts]
-    net = train([texts[r] for r, _ in learn], np.array([y for _, y in learn], int), Features([b" ", *index]))
-    del texts, index, learn
-    for _ in tidy(()):  # the driver's memory goes back, too
-        pass
-    shared = spark.sparkContext.broadcast(net)
-    logits = rows.select("row", "text").join(held, "row", "left_semi").mapInArrow(lambda it: tidy(_logits(it, shared.value)), "row long, logit double")
-    logit = {r["row"]: r["logit"] for r in logits.collect()}
-    net.shift = shift_of(np.array([logit[r] for r, _ in order[::4]]), np.array([y for _, y in order[::4]]))
-    return net
+    ship(docs.sparkSession)
+    one = rows.select("text", "toxic", "h", F.xxhash64("text").alias("digest")).coalesce(1)
+    (row,) = one.mapInArrow(lambda it: tidy(_learn(it)), "model binary").collect()
+    return pickle.loads(bytes(row["model"]))
 
 
 def toxicity(docs: DataFrame, net: Net) -> DataFrame:
