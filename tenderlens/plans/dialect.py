@@ -31,6 +31,7 @@ class Spark:
     window_from = staticmethod(lambda size: f"(unix_seconds(CAST(ts AS TIMESTAMP)) DIV {size}) * {size}")
     seconds = staticmethod(lambda x: f"unix_seconds(CAST({x} AS TIMESTAMP))")
     div = staticmethod(lambda a, b: f"({a} DIV {b})")
+    records = staticmethod(lambda rows: "explode(array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in r.items()) + ")" for r in rows) + "))")
 
 
 class Duck:
@@ -58,3 +59,4 @@ class Duck:
     window_from = staticmethod(lambda size: f"CAST(epoch(ts) AS BIGINT) // {size} * {size}")
     seconds = staticmethod(lambda x: f"CAST(floor(epoch({x})) AS BIGINT)")
     div = staticmethod(lambda a, b: f"({a} // {b})")
+    records = staticmethod(lambda rows: "unnest([" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in r.items()) + "}" for r in rows) + "])")

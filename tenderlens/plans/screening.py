@@ -28,20 +28,36 @@ def graduated(v: str, start: float, end: float, lo: float, hi: float) -> str:
     return f"floor(({lo} + ({hi} - {lo}) * least(1.0, greatest(0.0, ({v} - {start}) / ({end} - {start})))) * 10 + 0.5) / 10"
 
 
-def with_context(d) -> str:
-    """Contracts, their competition, concentration and repetition contexts, and the long table of checks."""
+#: check: family, applicable, known, hit, points; in the order of the letter codes
+CHECKS = {
+    "single-bid": ("competition", "direct IS NOT TRUE", "offers > 0", "offers = 1", "12.0"),
+    "direct-award": ("procedure", "true", "direct IS NOT NULL", "direct AND amount >= 40000", "18.0"),
+    "repeated-single-bid": ("competition", "true", "known >= 10", "single_rate >= 0.2", graduated("single_rate", 0.2, 0.3, 12.0, 30.0)),
+    "supplier-concentration": ("concentration", "true", "known >= 10", "share >= 0.015", graduated("share", 0.015, 0.03, 12.0, 30.0)),
+    "repeated-direct-award": ("procedure", "direct", "true", "directs >= 3", graduated("directs", 3.0, 10.0, 18.0, 30.0)),
+    "late-publication": ("publication", "true", "delay >= 0", "delay > 120", graduated("delay", 120.0, 730.0, 8.0, 16.0)),
+}
+
+
+def with_facts(d) -> str:
+    """Contracts with their competition, concentration and repetition contexts, and each check's state (s1, ...) and points
+    (p1, ...) as columns of one projection."""
+    states = ", ".join(f"{check(app, known, hit)} AS s{i}, {points} AS p{i}" for i, (_, app, known, hit, points) in enumerate(CHECKS.values(), 1))
     return f"""WITH {contracts(d)},
 grp AS (SELECT buyer, category, count(*) AS total, count(offers) AS known, count(CASE WHEN offers = 1 THEN 1 END) AS single FROM contracts GROUP BY buyer, category),
 sup AS (SELECT buyer, category, supplier, count(*) AS wins, count(CASE WHEN direct THEN 1 END) AS directs, count(direct) AS direct_known FROM contracts GROUP BY buyer, category, supplier),
-facts AS (SELECT c.*, g.total, g.known, g.single * 1.0 / g.known AS single_rate, s.wins, s.directs, s.wins * 1.0 / g.total AS share, {d.days('c.pub', 'c.date')} AS delay
+context AS (SELECT c.*, g.total, g.known, g.single * 1.0 / g.known AS single_rate, s.wins, s.directs, s.wins * 1.0 / g.total AS share, {d.days('c.pub', 'c.date')} AS delay
   FROM contracts c JOIN grp g ON c.buyer = g.buyer AND c.category = g.category JOIN sup s ON c.buyer = s.buyer AND c.category = s.category AND c.supplier = s.supplier),
-checks AS (
-  SELECT order_id, part_id, supplier, offers, quantity, amount, 'single-bid' AS check_id, 'competition' AS family, {check('direct IS NOT TRUE', 'offers > 0', 'offers = 1')} AS state, 12.0 AS weight FROM facts
-  UNION ALL SELECT order_id, part_id, supplier, offers, quantity, amount, 'direct-award', 'procedure', {check('true', 'direct IS NOT NULL', 'direct AND amount >= 40000')}, 18.0 FROM facts
-  UNION ALL SELECT order_id, part_id, supplier, offers, quantity, amount, 'repeated-single-bid', 'competition', {check('true', 'known >= 10', 'single_rate >= 0.2')}, {graduated('single_rate', 0.2, 0.3, 12.0, 30.0)} FROM facts
-  UNION ALL SELECT order_id, part_id, supplier, offers, quantity, amount, 'supplier-concentration', 'concentration', {check('true', 'known >= 10', 'share >= 0.015')}, {graduated('share', 0.015, 0.03, 12.0, 30.0)} FROM facts
-  UNION ALL SELECT order_id, part_id, supplier, offers, quantity, amount, 'repeated-direct-award', 'procedure', {check('direct', 'true', 'directs >= 3')}, {graduated('directs', 3.0, 10.0, 18.0, 30.0)} FROM facts
-  UNION ALL SELECT order_id, part_id, supplier, offers, quantity, amount, 'late-publication', 'publication', {check('true', 'delay >= 0', 'delay > 120')}, {graduated('delay', 120.0, 730.0, 8.0, 16.0)} FROM facts)"""
+facts AS (SELECT *, {states} FROM context)"""
+
+
+def with_context(d) -> str:
+    """The facts, and the long table of checks, made from them row by row."""
+    rows = [{"check_id": f"'{name}'", "family": f"'{c[0]}'", "state": f"s{i}", "weight": f"CAST(p{i} AS DOUBLE)"} for i, (name, c) in enumerate(CHECKS.items(), 1)]
+    keys = "order_id, part_id, supplier, offers, quantity, amount, buyer, status, category"
+    return f"""{with_facts(d)},
+long_facts AS (SELECT {keys}, {d.records(rows)} AS c FROM facts),
+checks AS (SELECT {keys}, c.check_id, c.family, c.state, c.weight FROM long_facts)"""
 
 
 #: name -> query text of a dialect
@@ -53,12 +69,31 @@ def plan(f):
     return f
 
 
+def scored(d) -> str:
+    """Contracts with the sum over families of the highest points of a signal, not below zero; clear checks with points
+    below zero subtract. Null where no check could be evaluated."""
+    of = {}
+    for i, (family, *_) in enumerate(CHECKS.values(), 1):
+        of.setdefault(family, []).append(i)
+    best = {f: "greatest(" + ", ".join([f"CASE WHEN s{i} = 'signal' THEN CAST(p{i} AS DOUBLE) END" for i in own] + ["CAST(NULL AS DOUBLE)"] * (len(own) < 2)) + ")" for f, own in of.items()}
+    clear = " + ".join(f"CASE WHEN s{i} = 'clear' AND p{i} < 0 THEN p{i} ELSE 0.0 END" for i in range(1, len(CHECKS) + 1))
+    total = " + ".join(f"coalesce({x}, 0.0)" for x in best.values())
+    evaluated = " OR ".join(f"s{i} IN ('signal', 'clear')" for i in range(1, len(CHECKS) + 1))
+    families = " + ".join(f"CASE WHEN {x} IS NOT NULL THEN 1 ELSE 0 END" for x in best.values())
+    return f"""{with_facts(d)},
+scored AS (SELECT order_id, part_id, supplier, offers, quantity, round(amount, 2) AS amount, CASE WHEN {evaluated} THEN round(greatest(0.0, {total} + {clear}), 1) END AS score, CAST({families} AS BIGINT) AS families FROM facts)"""
+
+
 @plan
 def m0_screening_index(d):
-    return f"""{with_context(d)},
-fam AS (SELECT order_id, part_id, supplier, offers, quantity, amount, family, max(CASE WHEN state = 'signal' THEN weight END) AS points, count(CASE WHEN state IN ('signal', 'clear') THEN 1 END) AS evaluated FROM checks GROUP BY ALL)
-SELECT order_id, part_id, supplier, offers, quantity, round(amount, 2) AS amount, CASE WHEN sum(evaluated) > 0 THEN round(coalesce(sum(points), 0), 1) END AS score, CAST(count(points) AS BIGINT) AS families
-FROM fam GROUP BY order_id, part_id, supplier, offers, quantity, amount ORDER BY score DESC NULLS LAST, families DESC, order_id, part_id, supplier, offers, quantity, amount LIMIT 200"""
+    """The 200 contracts of the highest index."""
+    return f"{scored(d)} SELECT * FROM scored ORDER BY score DESC NULLS LAST, families DESC, order_id, part_id, supplier, offers, quantity, amount LIMIT 200"
+
+
+@plan
+def m0_index_of_all(d):
+    """The index of every contract."""
+    return f"{scored(d)} SELECT * FROM scored"
 
 
 @plan
@@ -138,8 +173,12 @@ SELECT buyer, place, supplier, n, round(largest, 2) AS largest FROM (SELECT buye
 
 @plan
 def a21_bid_opening_features(d):
-    return f"""WITH s AS (SELECT l_orderkey AS opening, l_extendedprice AS bid, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS place, count(*) OVER (PARTITION BY l_orderkey) AS bids FROM {d.lineitem})
-SELECT opening, max(bids) AS bids, round(CASE WHEN max(bids) >= 3 THEN stddev_pop(bid) / avg(bid) END, 6) AS cv, round(CASE WHEN max(bids) >= 4 THEN (max(CASE WHEN place = 2 THEN bid END) - max(CASE WHEN place = 1 THEN bid END)) / nullif(stddev_samp(CASE WHEN place > 1 THEN bid END), 0) END, 4) AS relative_distance FROM s GROUP BY opening"""
+    """Of the openings' positive bids, from three on: variation, and the gap of the two lowest over the spread of all but the
+    lowest; a spread of zero gives 0 without a gap and else infinity."""
+    return f"""WITH s AS (SELECT l_orderkey AS opening, CASE WHEN l_extendedprice > 0 THEN l_extendedprice END AS bid FROM {d.lineitem}),
+r AS (SELECT *, CASE WHEN bid IS NOT NULL THEN row_number() OVER (PARTITION BY opening ORDER BY CASE WHEN bid IS NULL THEN 1 ELSE 0 END, bid) END AS place FROM s),
+f AS (SELECT opening, count(*) AS bids, count(bid) AS valid, stddev_pop(bid) / avg(bid) AS cv, max(CASE WHEN place = 2 THEN bid END) - max(CASE WHEN place = 1 THEN bid END) AS gap, max(CASE WHEN place > 1 THEN bid END) - min(CASE WHEN place > 1 THEN bid END) AS width, stddev_samp(CASE WHEN place > 1 THEN bid END) AS spread FROM r GROUP BY opening)
+SELECT opening, bids, valid, round(CASE WHEN valid >= 3 THEN cv END, 6) AS cv, CASE WHEN valid < 3 THEN NULL WHEN width = 0 THEN CASE WHEN gap = 0 THEN 0.0 ELSE CAST('Infinity' AS DOUBLE) END ELSE round(gap / spread, 4) END AS relative_distance FROM f"""
 
 
 @plan
@@ -219,7 +258,7 @@ def w2_distinct_over(d):
 
 @plan
 def w5_direct_share(d):
-    return f"WITH {contracts(d)} SELECT DISTINCT buyer, category, supplier, round(avg(CASE WHEN direct THEN 1.0 WHEN NOT direct THEN 0.0 END) OVER (PARTITION BY buyer, category), 6) AS direct_rate, CAST(sum(CASE WHEN direct THEN 1 ELSE 0 END) OVER (PARTITION BY buyer, category, supplier) AS BIGINT) AS directs FROM contracts"
+    return f"WITH {contracts(d)}, s AS (SELECT buyer, category, supplier, count(CASE WHEN direct THEN 1 END) AS directs, count(direct) AS known FROM contracts GROUP BY buyer, category, supplier) SELECT buyer, category, supplier, round(sum(directs) OVER (PARTITION BY buyer, category) * 1.0 / nullif(sum(known) OVER (PARTITION BY buyer, category), 0), 6) AS direct_rate, directs FROM s"
 
 
 @plan
@@ -245,7 +284,13 @@ def w14_lower_quartile(d):
 
 @plan
 def w15_mid_rank(d):
-    return f"SELECT c_custkey AS id, round((2 * (rank() OVER (ORDER BY seg, c_acctbal) - 1) + count(*) OVER (PARTITION BY seg, c_acctbal)) / 2.0 / count(*) OVER (PARTITION BY one), 6) AS percentile FROM (SELECT c_custkey, c_acctbal, 0 AS seg, 1 AS one FROM {d.customer} WHERE c_acctbal IS NOT NULL) t"
+    """Share of values below, and half of the equal ones. Distinct values are counted, then cumulated in bands; one task
+    sees a row a band."""
+    return f"""WITH v AS (SELECT c_acctbal AS v, floor(c_acctbal / 10) AS band, count(*) AS k FROM {d.customer} WHERE c_acctbal IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT band, sum(k) AS k FROM v GROUP BY band), t AS (SELECT sum(k) AS n FROM b),
+c AS (SELECT band, sum(k) OVER (ORDER BY band) - k AS before FROM b),
+r AS (SELECT v.v, v.k, c.before + sum(v.k) OVER (PARTITION BY v.band ORDER BY v.v) - v.k AS below FROM v JOIN c ON v.band = c.band)
+SELECT c_custkey AS id, round((2 * r.below + r.k) / 2.0 / t.n, 6) AS percentile FROM {d.customer} JOIN r ON c_acctbal = r.v CROSS JOIN t"""
 
 
 @plan
@@ -291,7 +336,8 @@ def p14_signal_semi_join(d):
 
 @plan
 def j6_anti_join(d):
-    return f"SELECT c_custkey AS client FROM {d.customer} WHERE NOT EXISTS (SELECT 1 FROM {d.orders} WHERE o_custkey = c_custkey)"
+    """Clients without an urgent order."""
+    return f"SELECT c_custkey AS client FROM {d.customer} WHERE NOT EXISTS (SELECT 1 FROM {d.orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
 
 
 @plan
@@ -367,7 +413,9 @@ def k2_formula_guard(d):
 
 @plan
 def k9_letter_codes(d):
-    return f"{with_context(d)} SELECT order_id, part_id, supplier, offers, quantity, round(amount, 2) AS amount, {d.join('letter', '', 'check_id')} AS letters FROM (SELECT order_id, part_id, supplier, offers, quantity, amount, check_id, CASE state WHEN 'signal' THEN 's' WHEN 'clear' THEN 'c' WHEN 'unknown' THEN 'u' ELSE 'n' END AS letter FROM checks) t GROUP BY order_id, part_id, supplier, offers, quantity, amount".replace("FROM (SELECT order_id, part_id", "FROM (SELECT DISTINCT order_id, part_id")
+    """One letter a check, at the check's place: signal, clear, unknown or not applicable."""
+    letters = ", ".join(f"CASE s{i} WHEN 'signal' THEN 's' WHEN 'clear' THEN 'c' WHEN 'unknown' THEN 'u' ELSE 'n' END" for i in range(1, len(CHECKS) + 1))
+    return f"{with_facts(d)} SELECT order_id, part_id, supplier, offers, quantity, round(amount, 2) AS amount, concat({letters}) AS letters FROM facts"
 
 
 @plan
@@ -388,8 +436,12 @@ def r4_field_conflicts(d):
 
 @plan
 def r6_amount_decision(d):
-    return f"""WITH a AS (SELECT l_partkey AS record, count(DISTINCT CASE WHEN l_returnflag = 'A' AND l_quantity > 10 THEN l_quantity END) AS feeds, min(CASE WHEN l_returnflag = 'A' AND l_quantity > 10 THEN l_quantity END) AS feed, count(DISTINCT CASE WHEN l_returnflag = 'R' AND l_quantity > 10 THEN l_quantity END) AS others, min(CASE WHEN l_returnflag = 'R' AND l_quantity > 10 THEN l_quantity END) AS other FROM {d.lineitem} GROUP BY l_partkey)
-SELECT record, CASE WHEN feeds = 1 THEN feed WHEN others = 1 THEN other END AS amount, CASE WHEN feeds = 1 AND others = 1 AND feed = other THEN 'agree' WHEN feeds = 1 AND others = 1 THEN 'disagree' WHEN feeds = 1 OR others = 1 THEN 'single-source' ELSE 'unknown' END AS status FROM a"""
+    """The amount shown of several sources': the buyers' only positive one; of several the only one that the ministry gives
+    too; without any the ministry's only one; zero only where no source has a positive amount."""
+    return f"""WITH v AS (SELECT l_partkey AS record, CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END AS amount, max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS feed, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS ministry FROM {d.lineitem} WHERE l_returnflag IN ('A', 'R') GROUP BY 1, 2),
+a AS (SELECT record, count(CASE WHEN feed = 1 AND amount > 0 THEN 1 END) AS feeds, min(CASE WHEN feed = 1 AND amount > 0 THEN amount END) AS feed_amount, count(CASE WHEN ministry = 1 AND amount > 0 THEN 1 END) AS others, min(CASE WHEN ministry = 1 AND amount > 0 THEN amount END) AS other_amount,
+  count(CASE WHEN feed = 1 AND ministry = 1 AND amount > 0 THEN 1 END) AS commons, min(CASE WHEN feed = 1 AND ministry = 1 AND amount > 0 THEN amount END) AS common_amount FROM v GROUP BY record)
+SELECT record, CASE WHEN feeds = 1 THEN feed_amount WHEN feeds > 1 THEN CASE WHEN commons = 1 THEN common_amount END WHEN others = 1 THEN other_amount WHEN others = 0 THEN 0 END AS amount, feeds, others, commons FROM a"""
 
 
 @plan
@@ -458,3 +510,80 @@ def st_tumbling_window(d):
 def st_session_window(d):
     return f"""WITH o AS (SELECT user_id, {d.seconds('ts')} AS s, CASE WHEN {d.seconds('ts')} - lag({d.seconds('ts')}) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 21600 THEN 0 ELSE 1 END AS fresh, ts, event_id FROM {d.events}),
 g AS (SELECT user_id, s, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM o) SELECT user_id, min(s) AS start_s, max(s) AS last_s, count(*) AS n FROM g GROUP BY user_id, session"""
+
+
+@plan
+def a3_type_concentration(d):
+    """Rows without a direct flag count in the total of a buyer and category, and receive no share."""
+    return f"WITH {contracts(d)}, s AS (SELECT buyer, category, CASE WHEN direct IS NOT NULL THEN supplier END AS holder, count(*) AS wins FROM contracts GROUP BY 1, 2, 3), t AS (SELECT *, CAST(sum(wins) OVER (PARTITION BY buyer, category) AS BIGINT) AS total, CAST(sum(CASE WHEN holder IS NOT NULL THEN wins ELSE 0 END) OVER (PARTITION BY buyer, category) AS BIGINT) AS known FROM s) SELECT buyer, category, holder, total, known, wins, round(wins * 1.0 / known, 6) AS share, round(known * 1.0 / total, 6) AS coverage, known >= 10 AND known >= 0.8 * total AS sufficient FROM t WHERE holder IS NOT NULL"
+
+
+@plan
+def a25_buyer_year_totals(d):
+    """A buyer's total of a year, each supplier's value and share, and in how many years the supplier served the buyer."""
+    return f"WITH {contracts(d)}, v AS (SELECT buyer, yr, supplier, sum(amount) AS value FROM contracts GROUP BY buyer, yr, supplier) SELECT buyer, CAST(yr AS BIGINT) AS yr, supplier, round(value, 2) AS value, round(sum(value) OVER (PARTITION BY buyer, yr), 2) AS total, round(value / sum(value) OVER (PARTITION BY buyer, yr), 6) AS share, count(*) OVER (PARTITION BY buyer, supplier) AS years_with FROM v"
+
+
+@plan
+def w11_first_listing(d):
+    """The first listing of each contract by publication date, then id, wins."""
+    return f"SELECT order_id, listed, line FROM (SELECT l_orderkey AS order_id, CAST(l_shipdate AS DATE) AS listed, l_linenumber AS line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS n FROM {d.lineitem}) t WHERE n = 1"
+
+
+@plan
+def w12_first_supplier_date(d):
+    """Each contract with the first date on which its buyer awarded to its supplier, aggregated before the join."""
+    return f"WITH {contracts(d)}, f AS (SELECT buyer, supplier, min(date) AS first_date FROM contracts GROUP BY buyer, supplier) SELECT c.order_id, c.supplier, c.offers, c.date, f.first_date, {d.days('c.date', 'f.first_date')} AS days FROM contracts c JOIN f ON c.buyer = f.buyer AND c.supplier = f.supplier"
+
+
+@plan
+def o4_amount_by_currency(d):
+    """A page of contracts by amount, amounts of one currency (segment) together: currency first, then amount, missing last."""
+    return f"WITH {contracts(d)} SELECT segment AS currency, round(amount, 2) AS amount, order_id, offers FROM contracts ORDER BY currency NULLS LAST, amount DESC NULLS LAST, order_id, offers LIMIT 100"
+
+
+@plan
+def o6_sector_last(d):
+    """Sectors in order; what is not specified comes last."""
+    return f"SELECT sector, n, row_number() OVER (ORDER BY CASE WHEN sector = 'not specified' THEN 1 ELSE 0 END, sector) AS place FROM (SELECT CASE WHEN p_type LIKE 'STANDARD%' THEN 'not specified' ELSE p_type END AS sector, count(*) AS n FROM {d.part} GROUP BY 1) t"
+
+
+@plan
+def x3_exact_row_dedup(d):
+    """Rows that agree in every field stay once, with their number."""
+    return f"SELECT user_id, event_type, value, count(*) AS copies FROM {d.events} GROUP BY user_id, event_type, value"
+
+
+@plan
+def x5_keyed_dedup(d):
+    """Repeated exports of one key stay once: the first by line."""
+    return f"SELECT part, supplier, line, order_id FROM (SELECT l_partkey AS part, l_suppkey AS supplier, l_linenumber AS line, l_orderkey AS order_id, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS n FROM {d.lineitem}) t WHERE n = 1"
+
+
+@plan
+def p17_clean_row(d):
+    """Why a row is left out of calibration, by the first reason that holds; null for clean rows."""
+    return f"WITH {contracts(d)} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN direct IS NULL THEN 'unverified' WHEN pub < date THEN 'conflict' WHEN amount <= 0 THEN 'no amount' WHEN quantity > 49 THEN 'framework' END AS reason FROM contracts) t GROUP BY reason"
+
+
+@plan
+def r3_possible_duplicates(d):
+    """Contracts of one buyer for the same object on the same date under different numbers: members and their smallest."""
+    return f"WITH {contracts(d)} SELECT buyer, part_id, date, count(DISTINCT order_id) AS members, min(order_id) AS first_id FROM contracts GROUP BY buyer, part_id, date HAVING count(DISTINCT order_id) > 1"
+
+
+@plan
+def m15_average_precision(d):
+    """Average precision of a score for the toxic label, and precision among the first twentieth, ties shared. Equal scores
+    (text lengths in hundreds) form one step."""
+    return f"""WITH x AS (SELECT {d.div('n_chars', '100')} AS score, toxic FROM {d.documents} AS a JOIN {d.labels} AS b ON a.doc_id = b.doc_id WHERE toxic IS NOT NULL),
+h AS (SELECT score, count(*) AS k, sum(toxic) AS hits FROM x GROUP BY score), c AS (SELECT score, k, hits, sum(k) OVER (ORDER BY score DESC) AS n, sum(hits) OVER (ORDER BY score DESC) AS found FROM h),
+t AS (SELECT sum(k) AS rows_all, sum(hits) AS hits_all FROM h)
+SELECT round(sum(c.hits * 1.0 / t.hits_all * c.found / c.n), 6) AS average_precision, round(sum(c.hits * 1.0 * least(1.0, greatest(0.0, (0.05 * t.rows_all - (c.n - c.k)) / c.k))) / max(0.05 * t.rows_all), 6) AS precision_at_5 FROM c CROSS JOIN t"""
+
+
+@plan
+def m21_false_discovery(d):
+    """Benjamini-Hochberg: the smallest rejected share of each category's p-value, here 1 / (1 + its number of contracts)."""
+    return f"""WITH p AS (SELECT p_type AS category, 1.0 / (1 + count(*)) AS p FROM {d.part} GROUP BY p_type), r AS (SELECT *, rank() OVER (ORDER BY p, category) AS place, count(*) OVER () AS n FROM p)
+SELECT category, round(p, 8) AS p, round(min(least(1.0, p * n / place)) OVER (ORDER BY place DESC), 8) AS q FROM r"""
