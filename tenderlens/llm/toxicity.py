@@ -6,7 +6,8 @@ learned vectors of its hashed character n-grams. Every document is read in overl
 its score is the highest of its windows' scores, so no part of a long text goes unread.
 
 Edge cases: null and empty texts have one empty window, scored by the network's bias; repeated rows are scored alike;
-labels that are null are not learnt from; without labelled rows of both kinds every score is the sigmoid of the bias.
+labels that are null are not learnt from; without labelled rows of both kinds to learn from every
+score is next to 0 and nothing is rejected; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .common import Scratch, alnum_words, batch_of, ship, tidy
 WINDOW, STRIDE = 32, 24
 WORD_ROWS, CHAR_ROWS = 1 << 17, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN = 4, 12, 8
+CLEAN = -10.0  # the shift where nothing could be learnt: no document is called toxic
 
 
 def unstutter(ids: np.ndarray) -> np.ndarray:
@@ -339,7 +341,7 @@ def _learn(batches):
     texts = [np.append(r[3], np.zeros(WINDOW, np.int32)) for r in held]
     flat = [(t, k) for t, x in zip(texts, starts) for k in x]
     _, best = window_scores(net, f, lambda i: np.stack([flat[k][0][flat[k][1] : flat[k][1] + WINDOW] for k in i], 1), doc, len(held))
-    net.shift = shift_of(best, np.array([r[2] for r in held]))
+    net.shift = shift_of(best, np.array([r[2] for r in held])) if len({r[2] for r in learn}) > 1 else CLEAN
     yield batch_of(MODEL, [[pickle.dumps(net)]])
 
 
@@ -349,7 +351,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = (5000, 250
     rows = sample_of(docs, labels, sample)
     if rows is None:
         net = train([], np.zeros(0, int), None)
-        net.shift = 0.0
+        net.shift = CLEAN
         return net
     ship(docs.sparkSession)
     one = rows.select("text", "toxic", "h", F.xxhash64("text").alias("digest")).coalesce(1)
