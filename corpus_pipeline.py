@@ -57,7 +57,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination), ("best_fit_packing", packing)]
-#: The network and the edit join are not expressible in SQL; tests hold the stages against brute-force versions.
+#: The network and the edit join are not expressible in SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
