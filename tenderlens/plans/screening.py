@@ -587,3 +587,122 @@ def m21_false_discovery(d):
     """Benjamini-Hochberg: the smallest rejected share of each category's p-value, here 1 / (1 + its number of contracts)."""
     return f"""WITH p AS (SELECT p_type AS category, 1.0 / (1 + count(*)) AS p FROM {d.part} GROUP BY p_type), r AS (SELECT *, rank() OVER (ORDER BY p, category) AS place, count(*) OVER () AS n FROM p)
 SELECT category, round(p, 8) AS p, round(min(least(1.0, p * n / place)) OVER (ORDER BY place DESC), 8) AS q FROM r"""
+
+
+@plan
+def a9_national_repetition(d):
+    """Distinct procedures of each buyer and supplier, and how many of them have a single bid or a direct award."""
+    return f"WITH {contracts(d)}, p AS (SELECT buyer, supplier, order_id, max(CASE WHEN offers = 1 THEN 1 ELSE 0 END) AS single, max(CASE WHEN direct THEN 1 ELSE 0 END) AS straight FROM contracts GROUP BY buyer, supplier, order_id) SELECT buyer, supplier, count(*) AS procedures, CAST(sum(single) AS BIGINT) AS singles, CAST(sum(straight) AS BIGINT) AS directs FROM p GROUP BY buyer, supplier"
+
+
+@plan
+def a28_conditional_modifications(d):
+    """Modifications of a contract (lines later than its first) within 730 days; null if any line has no date or the tables
+    end before the 730 days do."""
+    return f"""WITH l AS (SELECT l_orderkey AS contract, {d.epoch_days('l_shipdate')} AS day FROM {d.lineitem}), e AS (SELECT max(day) AS last_day FROM l),
+g AS (SELECT contract, min(day) AS first_day, count(*) - count(day) AS undated FROM l GROUP BY contract),
+n AS (SELECT l.contract, count(CASE WHEN l.day > g.first_day AND l.day <= g.first_day + 730 THEN 1 END) AS changes FROM l JOIN g ON l.contract = g.contract GROUP BY l.contract)
+SELECT g.contract, CASE WHEN g.undated = 0 AND g.first_day + 730 <= e.last_day THEN n.changes END AS changes FROM g JOIN n ON g.contract = n.contract CROSS JOIN e"""
+
+
+@plan
+def a36_award_summary(d):
+    """Transactions of each award key (order and supplier): how many, first and last date, total."""
+    return f"SELECT l_orderkey AS award, l_suppkey AS holder, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS first_date, CAST(max(l_shipdate) AS DATE) AS last_date, round(sum(l_extendedprice), 2) AS total FROM {d.lineitem} GROUP BY l_orderkey, l_suppkey"
+
+
+@plan
+def j5_multi_aggregate(d):
+    """Every client with its nation and with aggregates of two tables, each made before its left join; null keys never match."""
+    return f"""WITH o AS (SELECT o_custkey, count(*) AS orders, max(o_orderkey) AS last_order FROM {d.orders} GROUP BY o_custkey),
+l AS (SELECT o_custkey, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers FROM {d.lineitem} JOIN {d.orders} ON l_orderkey = o_orderkey GROUP BY o_custkey)
+SELECT c_custkey AS client, n_name AS nation, o.orders, o.last_order, l.lines, l.suppliers FROM {d.customer} LEFT JOIN {d.nation} ON c_nationkey = n_nationkey LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN l ON c_custkey = l.o_custkey"""
+
+
+@plan
+def j10_latest_version(d):
+    """The lines of each contract's last version, with what is known of their object."""
+    return f"SELECT v.l_orderkey AS contract, v.l_linenumber AS version, v.l_suppkey AS holder, p_brand AS brand FROM {d.lineitem} v JOIN (SELECT l_orderkey, max(l_linenumber) AS k FROM {d.lineitem} GROUP BY l_orderkey) m ON v.l_orderkey = m.l_orderkey AND v.l_linenumber = m.k LEFT JOIN {d.part} ON v.l_partkey = p_partkey"
+
+
+@plan
+def w16_disqualified_before(d):
+    """For each opening with a single winner (lowest price): the distinct other bidders dated on or before the winner's line."""
+    return f"""WITH b AS (SELECT l_orderkey AS opening, l_suppkey AS bidder, {d.epoch_days('l_shipdate')} AS day, CASE WHEN l_extendedprice = min(l_extendedprice) OVER (PARTITION BY l_orderkey) THEN 1 ELSE 0 END AS won FROM {d.lineitem}),
+w AS (SELECT opening, max(CASE WHEN won = 1 THEN bidder END) AS winner, max(CASE WHEN won = 1 THEN day END) AS day FROM b GROUP BY opening HAVING sum(won) = 1)
+SELECT w.opening, w.winner, count(DISTINCT b.bidder) AS earlier FROM w LEFT JOIN b ON b.opening = w.opening AND b.bidder <> w.winner AND b.day <= w.day GROUP BY w.opening, w.winner"""
+
+
+@plan
+def w17_cobid_windows(d):
+    """How often a bidder stands in other openings of the same client within a year of each opening."""
+    return f"WITH b AS (SELECT DISTINCT o_custkey AS demand, o_orderkey AS opening, l_suppkey AS bidder, {d.epoch_days('o_orderdate')} AS day FROM {d.lineitem} JOIN {d.orders} ON l_orderkey = o_orderkey) SELECT demand, opening, bidder, count(*) OVER (PARTITION BY demand, bidder ORDER BY day RANGE BETWEEN 365 PRECEDING AND 365 FOLLOWING) - 1 AS others FROM b"
+
+
+@plan
+def st7_completeness_gate(d):
+    """Orders by whether the year before and the year after them lie in one unbroken run of covered days (731 with their own);
+    unknown otherwise. The window without a key sees one row a day."""
+    return f"""WITH x AS (SELECT DISTINCT {d.epoch_days('l_shipdate')} AS day FROM {d.lineitem} WHERE l_shipdate IS NOT NULL), g AS (SELECT day, day - row_number() OVER (ORDER BY day) AS island FROM x),
+i AS (SELECT island, min(day) AS first_day, max(day) AS last_day FROM g GROUP BY island), k AS (SELECT g.day, i.first_day, i.last_day FROM g JOIN i ON g.island = i.island)
+SELECT CASE WHEN k.first_day <= k.day - 365 AND k.last_day >= k.day + 365 THEN 'complete' ELSE 'unknown' END AS coverage, count(*) AS n FROM {d.orders} LEFT JOIN k ON {d.epoch_days('o_orderdate')} = k.day GROUP BY 1"""
+
+
+@plan
+def o12_nearest_bids(d):
+    """The two lowest bids of each opening, and whether the second is within a hundredth of the first."""
+    return f"""WITH r AS (SELECT l_orderkey AS opening, l_extendedprice AS price, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS place FROM {d.lineitem} WHERE l_extendedprice > 0),
+t AS (SELECT opening, max(CASE WHEN place = 1 THEN price END) AS lowest, max(CASE WHEN place = 2 THEN price END) AS runner_up FROM r WHERE place <= 2 GROUP BY opening)
+SELECT opening, round(lowest, 2) AS lowest, round(runner_up, 2) AS runner_up, runner_up <= lowest * 1.01 AS near FROM t"""
+
+
+@plan
+def o9_top_of_all(d):
+    """The five thousand orders of highest amount, ties by id."""
+    return f"SELECT o_orderkey AS id, o_totalprice AS amount FROM {d.orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 5000"
+
+
+@plan
+def x6_upsert_source_priority(d):
+    """One row a user: each field from the first source (event type) that has it, the latest of that source."""
+    first = lambda x: f"row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN {x} IS NULL THEN 1 ELSE 0 END, event_type, ts DESC, event_id DESC)"
+    return f"SELECT user_id, max(CASE WHEN a = 1 THEN value END) AS value, max(CASE WHEN b = 1 THEN props END) AS props FROM (SELECT user_id, value, props, {first('value')} AS a, {first('props')} AS b FROM {d.events}) t GROUP BY user_id"
+
+
+@plan
+def x7_latest_with_first_date(d):
+    """The latest order of each client as it is, with the date of the client's first."""
+    return f"SELECT client, order_id, status, first_date FROM (SELECT o_custkey AS client, o_orderkey AS order_id, o_orderstatus AS status, CAST(min(o_orderdate) OVER (PARTITION BY o_custkey) AS DATE) AS first_date, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM {d.orders}) t WHERE n = 1"
+
+
+@plan
+def r1_partition_contracts(d):
+    """Rows of one buyer and number that agree in all initial fields are one contract; others are contracts of their own."""
+    fields = "concat(" + ", '|', ".join(f"coalesce(CAST({x} AS VARCHAR(40)), '')" for x in ("supplier", "part_id", "CAST(date AS DATE)", "offers", "status")) + ")"
+    return f"WITH {contracts(d)}, g AS (SELECT buyer, order_id, {d.sha(fields)} AS h, count(*) AS listed FROM contracts GROUP BY 1, 2, 3) SELECT buyer, order_id, h, listed, count(*) OVER (PARTITION BY buyer, order_id) AS contracts_of_number FROM g"
+
+
+@plan
+def r5_modification_conflicts(d):
+    """Modifications listed more than once under one number whose fields differ, with the names of those."""
+    differ = lambda x, name: f"CASE WHEN min({x}) <> max({x}) OR count({x}) NOT IN (0, count(*)) THEN '{name};' ELSE '' END"
+    return f"SELECT contract, number, copies, fields FROM (SELECT l_orderkey AS contract, l_linenumber AS number, count(*) AS copies, concat({differ('l_extendedprice', 'amount')}, {differ('l_suppkey', 'holder')}, {differ('l_shipdate', 'date')}) AS fields FROM {d.lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) t WHERE fields <> ''"
+
+
+@plan
+def r8_offers_conflict(d):
+    """The number of offers on which the sources of a record (order and part) agree; two positive numbers that differ make it unknown."""
+    return f"SELECT record, object, CASE WHEN lo = hi THEN lo END AS offers, coalesce(lo <> hi, false) AS conflict FROM (SELECT l_orderkey AS record, l_partkey AS object, min(CASE WHEN l_linenumber > 0 THEN l_linenumber END) AS lo, max(CASE WHEN l_linenumber > 0 THEN l_linenumber END) AS hi FROM {d.lineitem} GROUP BY l_orderkey, l_partkey) t"
+
+
+@plan
+def f7_identifier_digits(d):
+    """Digits of an identifier without leading zeros; null if it has none."""
+    return f"SELECT c_custkey AS client, nullif({d.rx_sub(d.rx_sub('c_name', '[^0-9]+', ''), '^0+', '')}, '') AS digits FROM {d.customer}"
+
+
+@plan
+def f21_round_amounts(d):
+    """Significant digits of whole amounts: digits left without the trailing zeros."""
+    whole = "CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30))"
+    return f"SELECT digits, count(*) AS n FROM (SELECT CAST(length({d.rx_sub(whole, '0+$', '')}) AS BIGINT) AS digits FROM {d.orders} WHERE o_totalprice >= 1) t GROUP BY digits"
