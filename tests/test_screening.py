@@ -199,3 +199,47 @@ def test_index_by_hand():
     facts = " UNION ALL ".join(row(i, s, p) for i, (s, p, *_) in enumerate(cases))
     got = duckdb.sql(f"WITH facts AS ({facts}) SELECT score, families FROM ({tail}) ORDER BY order_id").fetchall()
     assert got == [(score, families) for *_, score, families in cases]
+
+
+VERSIONS = "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_shipdate date"
+
+
+def test_versions_conflicts_and_windows(spark, tmp_path):
+    from datetime import date
+
+    rows = [
+        (1, 7, 1, 1, 100.0, date(2020, 1, 1)), (1, 8, 1, 2, 100.5, date(2020, 1, 1)), (1, 9, 1, 3, 300.0, date(2020, 6, 1)),
+        (2, 7, 1, 1, 50.0, date(2020, 1, 2)), (2, 7, 1, 1, 60.0, date(2020, 1, 2)), (2, 8, 1, 2, 70.0, date(2020, 1, 2)),
+        (3, 7, 1, 1, 10.0, None), (3, 8, 1, 1, 10.0, date(2023, 1, 1)), (4, 7, 1, 1, 5.0, date(2023, 1, 1)),
+    ]
+    lines = spark.createDataFrame(rows, VERSIONS)
+    both = lambda name: run_both(spark, tmp_path / name, name, lineitem=lines)
+    got, want = both("a28_conditional_modifications")
+    assert got == want == [(1, 1), (2, 0), (3, None), (4, None)]  # 3 has a line without a date; 4 is too young
+    got, want = both("r5_modification_conflicts")
+    assert got == want == [(2, 1, 2, "amount;"), (3, 1, 2, "holder;date;")]
+    got, want = both("w16_disqualified_before")
+    assert got == want == [(1, 7, 1), (2, 7, 1), (4, 7, 0)]  # 3 has two lowest bids, no winner
+    got, want = both("o12_nearest_bids")
+    assert got == want == [(1, 100.0, 100.5, True), (2, 50.0, 60.0, False), (3, 10.0, 10.0, True), (4, 5.0, None, None)]
+    got, want = both("r8_offers_conflict")
+    assert got == want == [(1, 1, None, True), (2, 1, None, True), (3, 1, 1, False), (4, 1, 1, False)]
+
+
+def test_upsert_takes_each_field_from_the_first_source_that_has_it(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(1, 1, "b", datetime(2024, 1, 2), 5.0, "x"), (2, 1, "a", datetime(2024, 1, 1), None, "y"), (3, 1, "b", datetime(2024, 1, 3), 6.0, None), (4, 2, "c", datetime(2024, 1, 1), None, None)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp, value double, props string")
+    got, want = run_both(spark, tmp_path, "x6_upsert_source_priority", events=events)
+    assert got == want == [(1, 6.0, "y"), (2, None, None)]
+
+
+def test_coverage_gate_asks_for_731_days(spark, tmp_path):
+    from datetime import date, timedelta
+
+    days = [date(2020, 1, 1) + timedelta(k) for k in range(731)] + [date(2023, 1, 1)]
+    lines = spark.createDataFrame([(d,) for d in days], "l_shipdate date")
+    orders = spark.createDataFrame([(days[365],), (days[364],), (days[366],), (date(2023, 1, 1),), (date(2030, 1, 1),), (None,)], "o_orderdate date")
+    got, want = run_both(spark, tmp_path, "st7_completeness_gate", lineitem=lines, orders=orders)
+    assert got == want == [("complete", 1), ("unknown", 5)]
