@@ -706,3 +706,19 @@ def f21_round_amounts(d):
     """Significant digits of whole amounts: digits left without the trailing zeros."""
     whole = "CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(30))"
     return f"SELECT digits, count(*) AS n FROM (SELECT CAST(length({d.rx_sub(whole, '0+$', '')}) AS BIGINT) AS digits FROM {d.orders} WHERE o_totalprice >= 1) t GROUP BY digits"
+
+
+@plan
+def f2_plain_words(d):
+    """Texts in lower case with one blank for every run of other than ASCII word characters, trimmed."""
+    return f"SELECT doc_id, trim({d.rx_sub('lower(text)', '[^a-zA-Z0-9_]+', ' ')}) AS words FROM {d.documents}"
+
+
+@plan
+def f20_cents_increase(d):
+    """Increase from a contract's first to its last version in per cent, in whole cents; null unless the first is positive.
+    Of lines with one number the lowest amount is taken."""
+    return f"""WITH v AS (SELECT l_orderkey AS contract, l_linenumber AS version, CAST(floor(min(l_extendedprice) * 100 + 0.5) AS BIGINT) AS cents FROM {d.lineitem} GROUP BY l_orderkey, l_linenumber),
+r AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY version) AS n, row_number() OVER (PARTITION BY contract ORDER BY version DESC) AS back FROM v),
+e AS (SELECT contract, max(CASE WHEN n = 1 THEN cents END) AS first_cents, max(CASE WHEN back = 1 THEN cents END) AS last_cents FROM r GROUP BY contract)
+SELECT contract, first_cents, last_cents, CASE WHEN first_cents > 0 THEN round((last_cents - first_cents) * 100.0 / first_cents, 6) END AS percent FROM e"""
