@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch_of, components, forest, ship
+from .common import FINISH, Scratch, batch_of, components, forest, ship
 
 BLOCKS, SEED, LIST = 2, 9, 90  # code blocks, seed, mean number of directions of a vector
 LOW, GRID = 16, 1 << 20  # dimensions from which on caps are used; steps of a rounded inner product
@@ -225,7 +225,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     found = payload.repartition(*order).sortWithinPartitions(*order).mapInArrow(lambda it: _verify(it, threshold, words), "vec_id long, root long, links long")
     found = scratch.save(found.groupBy("vec_id", "root").agg(F.sum("links").alias("links")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch)
+    comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")), scratch, FINISH)
     perclass = reps.select(F.col("rep").alias("vec_id"), "mult", "embedding").join(links, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     perclass = perclass.select(
         "embedding", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")

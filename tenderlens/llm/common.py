@@ -173,13 +173,39 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+NODES = pa.schema([("id", pa.int64()), ("component_id", pa.int64())])
+#: So many edges at most (16 MB) are finished by one task.
+FINISH = 1_000_000
+
+
+def _stars(batches):
+    """Every node of all edges (a, b) of one task with the smallest node that it is joined to."""
+    parts = [np.stack([b.column(i).cast(pa.int64()).to_numpy() for i in (0, 1)]) for b in batches]
+    ids, at = np.unique(np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64), return_inverse=True)
+    at = at.reshape(2, -1)
+    least = ids[forest(len(ids), at[0], at[1])]
+    for k in range(0, len(ids), 100_000):
+        yield batch_of(NODES, [ids[k : k + 100_000], least[k : k + 100_000]])
+
+
+def components(edges: DataFrame, scratch: Scratch, finish: int = 0) -> DataFrame:
     """(id, component_id = smallest id reachable) for every node of ``edges(a, b)``, by alternating large-star and
     small-star contraction; every round is a pair of aggregations and joins whose result is written, nothing is collected.
-    Nodes are longs; nulls and self links are ignored."""
+    Once at most ``finish`` edges are left, one task ends the work by union-find, which gives the same rows: the rounds'
+    many small shuffles would each cost the driver a thread. 0 stays with DataFrame functions to the end.
+    Nodes are integers or, where ``finish`` is 0, of any ordered type; nulls and self links are ignored."""
     e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        if finish and now[0] <= finish:
+            ship(scratch.spark)
+            out = scratch.save(e.coalesce(1).mapInArrow(lambda it: tidy(_stars(it)), "id long, component_id long"))
+            scratch.drop(e)
+            return out
+        before = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -187,12 +213,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "a")
         nxt = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         nxt = scratch.save(nxt.where("a <> b").distinct())
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(e)
         e = nxt
-        if now == before:
-            break
-        before = now
     return e.select(F.col("a").alias("id"), F.col("b").alias("component_id")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
     )

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, batch_of, components, forest, packed, packed_up, partitions_for, ship, space_words, tidy, unpacked, unpacked_up
+from .common import FINISH, Scratch, WordHashes, batch_of, components, forest, packed, packed_up, partitions_for, ship, space_words, tidy, unpacked, unpacked_up
 
 WORDS, BLOCK, LEAF = 5, 512, 96
 #: A shingle is put last in the order from so many documents on; at most so many, the most frequent, are sent to executors.
@@ -322,7 +322,7 @@ def _spanning(items: DataFrame, members: DataFrame, percent: int, scratch: Scrat
     large = placed.where("blocks > 1")
     if not large.limit(1).count():
         return edges
-    comp = components(edges, scratch)
+    comp = components(edges, scratch, FINISH)
     large = large.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component_id", "doc_id"))
     weights = large.groupBy("region", "c").agg(F.count("*").alias("w"))
     main = weights.groupBy("region").agg(F.max_by("c", "w").alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -363,11 +363,11 @@ def near_documents(docs: DataFrame, percent: int = 75) -> DataFrame:
     attached = held.mapInArrow(lambda it: tidy(_attach(it, percent)), "pivot long, doc_id long")
     attached = scratch.save(attached.distinct().withColumnRenamed("pivot", "region"))
     near = _spanning(reps.select("doc_id", "n", F.col("sketch").alias("data")), attached, percent, scratch)
-    clusters = scratch.save(components(near, scratch).select(F.col("component_id").alias("region"), F.col("id").alias("doc_id")))
+    clusters = scratch.save(components(near, scratch, FINISH).select(F.col("component_id").alias("region"), F.col("id").alias("doc_id")))
     scratch.drop(reps, attached)
     sets = docs.join(clusters.select("doc_id"), "doc_id", "left_semi").mapInArrow(lambda it: tidy(_sets(it), _hashes), "doc_id long, n long, data binary")
     links_ = _spanning(sets, clusters, percent, scratch)
-    comp = components(links_.union(equal), scratch)
+    comp = components(links_.union(equal), scratch, FINISH)
     return counts.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -561,3 +561,22 @@ def test_empty_tables(spark):
     assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert caps.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_components_in_rounds_and_finished_by_one_task(spark):
+    import random
+
+    from tenderlens.llm.common import Scratch, components, forest
+
+    rng = random.Random(5)
+    pairs = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)] + [(7, 7), (None, 3), (-5, 2**40), (2**40, -5)]
+    nodes = sorted({x for a, b in pairs if a != b and None not in (a, b) for x in (a, b)})
+    at = {x: i for i, x in enumerate(nodes)}
+    real = [(at[a], at[b]) for a, b in pairs if a in at and b in at and a != b]
+    root = forest(len(nodes), np.array([a for a, _ in real]), np.array([b for _, b in real]))
+    want = [(x, nodes[root[i]]) for i, x in enumerate(nodes)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for finish in (0, 5, 10**6):
+        got = components(edges, Scratch(spark), finish)
+        assert sorted(map(tuple, got.collect())) == want
+        assert components(edges.limit(0), Scratch(spark), finish).collect() == []
