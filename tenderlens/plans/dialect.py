@@ -28,7 +28,8 @@ class Spark:
     json_text = staticmethod(lambda x, k: f"get_json_object({x}, '$.{k}')")
     epoch_days = staticmethod(lambda x: f"unix_date(CAST({x} AS DATE))")
     try_date = staticmethod(lambda x: f"try_cast({x} AS DATE)")
-    window_from = staticmethod(lambda size: f"(unix_seconds(CAST(ts AS TIMESTAMP)) DIV {size}) * {size}")
+    # the oracle's cast to whole seconds rounds, halves to even: the last half second of a window is in the next one
+    window_from = staticmethod(lambda size: f"(CAST(rint(unix_micros(CAST(ts AS TIMESTAMP)) / 1e6) AS BIGINT) DIV {size}) * {size}")
     seconds = staticmethod(lambda x: f"unix_seconds(CAST({x} AS TIMESTAMP))")
     div = staticmethod(lambda a, b: f"({a} DIV {b})")
     records = staticmethod(lambda rows: "explode(array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in r.items()) + ")" for r in rows) + "))")

@@ -243,3 +243,10 @@ def test_coverage_gate_asks_for_731_days(spark, tmp_path):
     orders = spark.createDataFrame([(days[365],), (days[364],), (days[366],), (date(2023, 1, 1),), (date(2030, 1, 1),), (None,)], "o_orderdate date")
     got, want = run_both(spark, tmp_path, "st7_completeness_gate", lineitem=lines, orders=orders)
     assert got == want == [("complete", 1), ("unknown", 5)]
+
+
+def test_tumbling_window_rounds_seconds(spark, tmp_path):
+    stamps = ["2024-01-01 23:59:59.499999", "2024-01-01 23:59:59.5", "2024-01-01 23:59:59.6", "2024-01-02 00:00:00", "2024-01-02 23:59:58.5", None]
+    df = spark.createDataFrame([(t, "view", float(2**i)) for i, t in enumerate(stamps)], "ts string, event_type string, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value")
+    got, want = run_both(spark, tmp_path, "st_tumbling_window", events=df)
+    assert got == want == [(1704067200, "view", 1, 1.0), (1704153600, "view", 4, 30.0), (None, "view", 1, 32.0)]
