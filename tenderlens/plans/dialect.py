@@ -5,6 +5,15 @@ from __future__ import annotations
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def _over_deviation(a: str, x: str) -> str:
+    """a over the sample deviation of the gathered x by the oracle's running mean and sum of squares, step by step over the
+    ascending values: Spark's own deviation rounds elsewhere, which shows where the values are nearly equal. Over 0 as IEEE has it."""
+    mean, variance = "(s.mean + (v - s.mean) / (s.n + 1))", "s.squares / (s.n - 1)"
+    step = f"named_struct('n', s.n + 1, 'mean', {mean}, 'squares', s.squares + (v - {mean}) * (v - s.mean))"
+    end = f"CASE WHEN s.n > 1 THEN CASE WHEN {variance} > 0 THEN {a} / sqrt({variance}) WHEN {a} > 0 THEN double('Infinity') ELSE double('NaN') END END"
+    return f"aggregate(sort_array({x}), named_struct('n', 0e0, 'mean', 0e0, 'squares', 0e0), (s, v) -> {step}, s -> {end})"
+
+
 class Spark:
     def __init__(self, sf_dir: str):
         self.sf_dir = sf_dir
@@ -30,6 +39,8 @@ class Spark:
     try_date = staticmethod(lambda x: f"try_cast({x} AS DATE)")
     # the oracle's cast to whole seconds rounds, halves to even: the last half second of a window is in the next one
     window_from = staticmethod(lambda size: f"(CAST(rint(unix_micros(CAST(ts AS TIMESTAMP)) / 1e6) AS BIGINT) DIV {size}) * {size}")
+    gathered_deviation = staticmethod(lambda x: f"collect_list({x})")
+    over_deviation = staticmethod(_over_deviation)
     seconds = staticmethod(lambda x: f"unix_seconds(CAST({x} AS TIMESTAMP))")
     div = staticmethod(lambda a, b: f"({a} DIV {b})")
     records = staticmethod(lambda rows: "explode(array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in r.items()) + ")" for r in rows) + "))")
@@ -58,6 +69,8 @@ class Duck:
     epoch_days = staticmethod(lambda x: f"date_diff('day', DATE '1970-01-01', CAST({x} AS DATE))")
     try_date = staticmethod(lambda x: f"try_cast({x} AS DATE)")
     window_from = staticmethod(lambda size: f"CAST(epoch(ts) AS BIGINT) // {size} * {size}")
+    gathered_deviation = staticmethod(lambda x: f"stddev_samp({x})")
+    over_deviation = staticmethod(lambda a, x: f"{a} / {x}")
     seconds = staticmethod(lambda x: f"CAST(floor(epoch({x})) AS BIGINT)")
     div = staticmethod(lambda a, b: f"({a} // {b})")
     records = staticmethod(lambda rows: "unnest([" + ", ".join("{" + ", ".join(f"'{k}': {v}" for k, v in r.items()) + "}" for r in rows) + "])")

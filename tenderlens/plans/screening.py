@@ -177,8 +177,8 @@ def a21_bid_opening_features(d):
     lowest; a spread of zero gives 0 without a gap and else infinity."""
     return f"""WITH s AS (SELECT l_orderkey AS opening, CASE WHEN l_extendedprice > 0 THEN l_extendedprice END AS bid FROM {d.lineitem}),
 r AS (SELECT *, CASE WHEN bid IS NOT NULL THEN row_number() OVER (PARTITION BY opening ORDER BY CASE WHEN bid IS NULL THEN 1 ELSE 0 END, bid) END AS place FROM s),
-f AS (SELECT opening, count(*) AS bids, count(bid) AS valid, stddev_pop(bid) / avg(bid) AS cv, max(CASE WHEN place = 2 THEN bid END) - max(CASE WHEN place = 1 THEN bid END) AS gap, max(CASE WHEN place > 1 THEN bid END) - min(CASE WHEN place > 1 THEN bid END) AS width, stddev_samp(CASE WHEN place > 1 THEN bid END) AS spread FROM r GROUP BY opening)
-SELECT opening, bids, valid, round(CASE WHEN valid >= 3 THEN cv END, 6) AS cv, CASE WHEN valid < 3 THEN NULL WHEN width = 0 THEN CASE WHEN gap = 0 THEN 0.0 ELSE CAST('Infinity' AS DOUBLE) END ELSE round(gap / spread, 4) END AS relative_distance FROM f"""
+f AS (SELECT opening, count(*) AS bids, count(bid) AS valid, stddev_pop(bid) / avg(bid) AS cv, max(CASE WHEN place = 2 THEN bid END) - max(CASE WHEN place = 1 THEN bid END) AS gap, max(CASE WHEN place > 1 THEN bid END) - min(CASE WHEN place > 1 THEN bid END) AS width, {d.gathered_deviation('CASE WHEN place > 1 THEN bid END')} AS spread FROM r GROUP BY opening)
+SELECT opening, bids, valid, round(CASE WHEN valid >= 3 THEN cv END, 6) AS cv, CASE WHEN valid < 3 THEN NULL WHEN width = 0 THEN CASE WHEN gap = 0 THEN 0.0 ELSE CAST('Infinity' AS DOUBLE) END ELSE round({d.over_deviation('gap', 'spread')}, 4) END AS relative_distance FROM f"""
 
 
 @plan

@@ -250,3 +250,11 @@ def test_tumbling_window_rounds_seconds(spark, tmp_path):
     df = spark.createDataFrame([(t, "view", float(2**i)) for i, t in enumerate(stamps)], "ts string, event_type string, value double").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "event_type", "value")
     got, want = run_both(spark, tmp_path, "st_tumbling_window", events=df)
     assert got == want == [(1704067200, "view", 1, 1.0), (1704153600, "view", 4, 30.0), (None, "view", 1, 32.0)]
+
+
+def test_bid_features_of_nearly_equal_bids(spark, tmp_path):
+    rows = [(1, 19193.4), (1, 72010.04), (1, 72010.06)] + [(2, 1.0), (2, 100000.0), (2, 100000.0 + 2**-36), (3, 5.0), (3, 7.0 + 2**-50), (3, 7.0)]
+    rows += [(10 + i, x) for i in range(400) for x in (900.5 + 7.31 * i, 50000 + 97.03 * i, 50000.01 + 97.03 * i, *[50000.02 + 97.03 * i] * (i % 3))]
+    got, want = run_both(spark, tmp_path, "a21_bid_opening_features", lineitem=lines(spark, rows, "l_orderkey long, l_extendedprice double"))
+    assert got == want and len(got) == 403
+    assert {r[0]: r[4] for r in got}[1] == 3734700.4282  # by the SQL's running mean; the exact quotient is 3734700.4295...
