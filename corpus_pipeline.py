@@ -9,6 +9,15 @@ from tenderlens.llm.common import Scratch, table
 
 #: Documents that score this much or more are rejected as toxic: the cut at which the score is calibrated.
 TOXIC = 0.3
+#: So many ids of documents that go are sent to the executors at most; more are joined by a shuffle of the texts.
+GONE = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but those of ``ids(doc_id)``; where these are few the texts are not shuffled. Null ids stay."""
+    ids = Scratch(docs.sparkSession).save(ids.distinct())
+    few = F.broadcast(ids) if ids.count() <= GONE else ids
+    return docs.join(few, "doc_id", "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of the documents linked by Jaccard similarity 0.75 of five-word shingles, the one of least id stays."""
     from tenderlens.llm.jaccard import near_documents
 
-    again = near_documents(docs, 75).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_documents(docs, 75).where("doc_id <> component_id").select("doc_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from tenderlens.llm.decontam import contamination
 
     found = contamination(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0 and 20 * n_hit >= n_words")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without(docs, found.select("doc_id"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

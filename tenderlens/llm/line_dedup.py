@@ -184,7 +184,8 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) ->
     mine = "_" * (1 + max(len(c) for c in docs.columns))
     doc, version, pos = (mine + x for x in ("doc", "version", "pos"))
     gone = scratch.save(gone.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("pos").alias(pos)))
-    out = docs.drop("n_lines", "n_removed").join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left")
+    # gone grows with the documents: small or large, both sides are shuffled, and one size tells of another
+    out = docs.drop("n_lines", "n_removed").join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(version)), "left")
     parts, none = F.split("text", "\n"), F.col(pos).isNull()
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(pos, i)), "\n")
     n_lines, n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.when(none, 0).otherwise(F.size(pos))

@@ -112,3 +112,24 @@ def test_run_on_empty_tables_and_rows_without_text(spark, tmp_path, some):
     sf = folder(spark, tmp_path, rows, [], [])
     got = corpus_pipeline.run(spark, sf).collect()
     assert len(got) == len(rows) and np.all([r.length == 1 for r in got])
+
+
+def test_dropping_documents_moves_no_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    texts = [" ".join(f"{w}{i}" for w in "abcdefghijklmnop") for i in range(8)]
+    rows = [*enumerate(texts), (8, texts[0]), (9, texts[1]), (10, None), (None, texts[2])]
+    sf = folder(spark, tmp_path, rows, [(1, 1, 0)], [(1, texts[3])])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the ids that go are more than that
+    try:
+        for most in (pipeline.GONE, 0):  # 0: the ids are joined by a shuffle
+            monkeypatch.setattr(pipeline, "GONE", most)
+            for stage, gone in ((pipeline.near_duplicates, {8, 9}), (pipeline.decontamination, {3})):
+                out = stage(spark, docs, sf)
+                assert ("hashpartitioning" in plan(out)) == (not most)
+                assert sorted(map(str, out.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in gone)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan(pipeline.line_dedup(spark, docs, sf))
